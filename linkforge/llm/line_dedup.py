@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from linkforge.llm import words
 from linkforge.llm.repeats import Rule, covered, repeated_windows
@@ -26,6 +26,7 @@ RULE = Rule(lines, LENGTH, 1)
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch):
+            more = [c for c in part.schema.names if c == "rest"]
             n, gone, texts = [], [], []
             for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist()):
                 size = len(lines((text or "").encode()))
@@ -38,12 +39,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append("\n".join(kept))
                 gone.append(int(covered(starts, LENGTH, size).sum()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())],
-                names=["doc_id", "text", "n_lines", "n_removed"],
+                [part.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), *(part.column(c) for c in more)],
+                names=["doc_id", "text", "n_lines", "n_removed", *more],
             )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, rest: Column | None = None) -> DataFrame:
     """doc_id, text (without the removed lines), n_lines and n_removed for every row.
 
     Lines are split at newlines; those without a word are skipped when runs are formed and are never
@@ -51,11 +52,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     (smaller doc_id, or same document and earlier line); runs are judged on the input. Null texts stay
     null. Documents under three lines are left as they are. Of equal texts the smallest doc_id keeps its
     lines. Rows that repeat a doc_id are the same place. Rows without doc_id are left as they are. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored, but for ``rest``: it comes along as a column of that name. An empty table gives an
+    empty result.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    more = [] if rest is None else [rest.alias("rest")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     known = docs.where("doc_id is not null")
     marked = known.join(repeated_windows(known, RULE), "doc_id", "left")
     strays = docs.where("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>"))
-    return marked.select("doc_id", "text", "starts").unionByName(strays).mapInArrow(_cut, "doc_id long, text string, n_lines long, n_removed long")
+    schema = T._parse_datatype_string("doc_id long, text string, n_lines long, n_removed long")
+    for field in docs.schema.fields[2:]:
+        schema = schema.add(field)
+    return marked.unionByName(strays).mapInArrow(_cut, schema)

@@ -33,11 +33,11 @@ gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(ran
 
 
 OP6 = rf"""
-WITH {_runs(r"list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))", 3)},
-every_line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents WHERE text IS NOT NULL),
+WITH {_runs(r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))", 3)},
+every_line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents WHERE text IS NOT NULL),
 numbered AS (SELECT *, regexp_matches(l, '[^\x20\x09-\x0D]') AS full_line,
-  sum(CASE WHEN regexp_matches(l, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY at) AS p FROM every_line),
-kept AS (SELECT n.doc_id, string_agg(l, chr(10) ORDER BY at) AS t FROM numbered n LEFT JOIN gone g USING (doc_id)
+  sum(CASE WHEN regexp_matches(l, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS p FROM every_line),
+kept AS (SELECT n.doc_id, string_agg(l, chr(10) ORDER BY ln) AS t FROM numbered n LEFT JOIN gone g USING (doc_id)
   WHERE NOT (full_line AND list_contains(coalesce(gone, []), p)) GROUP BY n.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
   CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(t, '')) END AS text_sha256
@@ -47,8 +47,15 @@ FROM documents d JOIN toks USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOI
 OP7 = f"""
 WITH {_runs(WORDS, 20)}
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), x -> NOT list_contains(coalesce(gone, []), x[2])), x -> x[1]), ' ')) AS kept_sha256
+  sha256(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(coalesce(gone, []), x[2])), lambda x: x[1]), ' ')) AS kept_sha256
 FROM toks LEFT JOIN gone USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2, "op6_line_dedup": OP6, "op7_substring_dedup": OP7}
+OP3 = f"""
+WITH d AS ({SHINGLES.format(key="doc_id", table="documents")}), b AS ({SHINGLES.format(key="item_id", table="benchmark")}),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item
+FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 4 * count(*) >= 3 * any_value(n_item)
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2, "op3_decontamination": OP3, "op6_line_dedup": OP6, "op7_substring_dedup": OP7}

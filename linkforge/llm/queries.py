@@ -6,16 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from linkforge.llm.bpe_codec import code_digests
+from linkforge.llm.decontamination import contained_items
 from linkforge.llm.line_dedup import line_dedup
 from linkforge.llm.near_dup import near_duplicates
+from linkforge.llm.pii import find_pii
+from linkforge.llm.quality_cnn import quality_scores
+from linkforge.llm.quality_rules import quality_rules
+from linkforge.llm.sharding import kd_shards
 from linkforge.llm.substring_dedup import substring_dedup
+from linkforge.llm.token_counts import token_counts
 from linkforge.runtime import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer file lies; it is never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
@@ -26,8 +56,22 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_minhash_near_dedup": op2_minhash_near_dedup,
-    "op6_line_dedup": op6_line_dedup,
-    "op7_substring_dedup": op7_substring_dedup,
-}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
+
+
+_ALL = (
+    op1_quality_cnn, op2_minhash_near_dedup, op3_decontamination, op4_kd_sharding, op5_bpe_codec,
+    op6_line_dedup, op7_substring_dedup, op8_quality_rules, op9_token_counts, op10_pii,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

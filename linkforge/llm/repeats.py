@@ -94,11 +94,13 @@ def repeated_windows(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, starts array<int>): windows of each document whose tokens also start earlier.
 
     Earlier means a smaller doc_id, or the same document and a smaller start. ``docs`` has doc_id (not
-    null) and text alone. Rows that repeat a doc_id count as one place.
+    null), text and whatever the caller joins the result to: the exchange of ``docs`` by doc_id is planned
+    alike here and there, so texts are shuffled once. Rows that repeat a doc_id count as one place.
     """
-    counts = docs.mapInArrow(_anchors(rule, True), "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n"))
+    plain = docs.select("doc_id", "text")
+    counts = plain.mapInArrow(_anchors(rule, True), "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n"))
     shared = counts.where("n > 1").select("anchor")
-    seen = docs.mapInArrow(_anchors(rule, False), "anchor long, doc_id long, pos int")
+    seen = plain.mapInArrow(_anchors(rule, False), "anchor long, doc_id long, pos int")
     seeds = seen.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
     windows = docs.join(seeds, "doc_id").mapInArrow(_extended(rule), "window long, doc_id long, start int")
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first")
