@@ -108,7 +108,7 @@ def collection(url: Column) -> Column:
 
 def page_kind(url: Column, detail_markers, listing_path: str) -> Column:
     """Detail page, listing, filtered listing or unsupported page, by path and query."""
-    rooted = F.concat(F.rtrim(F.lit("/"), path(url)), F.lit("/"))
+    rooted = F.concat(F.rtrim(path(url), F.lit("/")), F.lit("/"))
     return (
         F.when(any_in(F.lower(path(url)), detail_markers), "single installation detail page")
         .when((rooted == listing_path) & (part(url, 4) != ""), "filtered archive listing page")

@@ -16,7 +16,7 @@ def is_detail_url(url: Column, p: Profile = DEFAULT) -> Column:
 
 
 def is_discovery_url(url: Column, p: Profile = DEFAULT) -> Column:
-    rooted = F.concat(F.rtrim(F.lit("/"), path(url)), F.lit("/"))
+    rooted = F.concat(F.rtrim(path(url), F.lit("/")), F.lit("/"))
     return rooted.isin(*p.discovery_paths) | F.contains(rooted, F.lit(p.listing_path))
 
 

@@ -108,7 +108,7 @@ def with_credit(df: DataFrame, column: str, out: str = "c") -> DataFrame:
     df = df.withColumn("_credit", clean_text(F.col(column)))
     credit = F.col("_credit")
     df = df.withColumns({f"_{k}_{n}": F.regexp_extract(credit, p, g) if n == "sep" else clean_text(F.regexp_extract(credit, p, g)) for k, (p, gs) in _PARTS.items() for n, g in gs.items()})
-    df = df.withColumn("_aka_left", clean_text(F.rtrim(F.lit(","), F.col("_aka_left")))).withColumn("_nick_legal", clean_text(F.concat_ws(" ", "_nick_before", "_nick_after")))
+    df = df.withColumn("_aka_left", clean_text(F.rtrim(F.col("_aka_left"), F.lit(",")))).withColumn("_nick_legal", clean_text(F.concat_ws(" ", "_nick_before", "_nick_after")))
     tests = {"_aka_a": is_legal_name(F.col("_aka_left")), "_aka_b": is_legal_name(F.col("_aka_right")), "_aka_sa": is_stage_name(F.col("_aka_left")), "_aka_sb": is_stage_name(F.col("_aka_right"))}
     tests |= {"_nick_ok": is_legal_name(F.col("_nick_legal")), "_people": people_of(credit), "_group": is_group(credit), "_legal": is_legal_name(credit), "_stage": is_stage_name(credit)}
     for k in ("role", "art", "who"):

@@ -149,7 +149,10 @@ def field_errors(f: Field) -> Column:
 
 def validate(df: DataFrame, schema: Schema) -> DataFrame:
     """Add ``errors``: an array of (field, message) structs; a row is valid when it is empty."""
-    per = [F.transform(field_errors(f), lambda m, n=f.name: F.struct(F.lit(n).alias("field"), m.alias("message"))) for f in schema.fields]
+    def tagged(f: Field) -> Column:
+        return F.transform(field_errors(f), lambda m: F.struct(F.lit(f.name).alias("field"), m.alias("message")))
+
+    per = [tagged(f) for f in schema.fields]
     return df.withColumn("errors", F.flatten(F.array(*per)))
 
 

@@ -11,6 +11,7 @@ from linkforge.operators.ordering import last_wins, merged_people
 from linkforge.operators.people import alias_linked, has_context, is_noise_url, people_in, should_fetch
 from linkforge.operators.rules.credit import is_legal_name, with_credit
 from linkforge.profile import DEFAULT, Profile
+from linkforge.runtime import checkpointed
 
 ALIAS_TYPES = ("alias_or_unknown", "alias_pair")
 
@@ -41,6 +42,7 @@ def resolve(rows: DataFrame, pages: DataFrame | None = None, p: Profile = DEFAUL
     Seeds are the credit's own people; pages add people on role lines and names linked to the alias. A legal
     name is taken from evidence of 0.75 or more; for pure aliases only from linked names or 0.9 and more."""
     c = F.col("c")
+    rows = checkpointed(rows)  # the classified credits are read several times, and planned once
     seeds = rows.select("key", F.posexplode(c["named_people"]).alias("pos", "name")).select("key", "pos", "name", F.lit("credited").alias("role"), F.lit(0.7).alias("confidence"))
     found = seeds.where(is_legal_name(F.col("name")))
     if pages is not None:
@@ -51,7 +53,7 @@ def resolve(rows: DataFrame, pages: DataFrame | None = None, p: Profile = DEFAUL
             rows_of = part.select("key", F.posexplode("people").alias("pos", "p")).select("key", (F.col("pos") + 1000).alias("pos"), "p.name", "p.role", "p.confidence")
             found = found.unionByName(rows_of)
     people = merged_people(found.withColumn("pos", F.xxhash64("pos", "name", "role")), ["key"])
-    df = rows.join(people, "key", "left").withColumn("people", F.coalesce("people", F.array().cast("array<struct<pos:bigint,name:string,role:string,confidence:double>>")))
+    df = checkpointed(rows.join(people, "key", "left")).withColumn("people", F.coalesce("people", F.array().cast("array<struct<pos:bigint,name:string,role:string,confidence:double>>")))
     alias = c["credit_type"].isin(*ALIAS_TYPES)
     official = [n.lower() for n in p.official_names] or [""]
     good = F.filter("people", lambda x: (x["confidence"] >= 0.75) & is_legal_name(x["name"]) & ~F.lower(x["name"]).isin(*official) & (~alias | (x["role"] == "alias_linked") | (x["confidence"] >= 0.9)))

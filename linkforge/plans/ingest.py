@@ -11,6 +11,7 @@ from linkforge.operators.lookup import Index, fallback_lookup, identity_conflict
 from linkforge.operators.rules.contributor import identity_is_useful, person_or_org, with_cached_contributor, with_local_contributor
 from linkforge.operators.rules.decide import ATTENTION, choose_hero, format_flags, missing_required, review_priority, split_flags, upload_ready
 from linkforge.profile import DEFAULT, Profile
+from linkforge.runtime import checkpointed
 
 VERIFICATION = ("archive_uid", "www_uid", "archive_url", "archive_artist", "verification_status", "hero_image_url", "hero_image_active", "public_credit")
 IDENTITY = ("uid", "archive_credit", "credit_type", "legal_name", "alias_name", "alias_confidence", "collective_name", "named_people", "identity_status", "artist_website")
@@ -48,8 +49,11 @@ def looked_up(base: DataFrame, c: Caches) -> DataFrame:
 
 
 def ingest_rows(listing: DataFrame, caches: Caches, p: Profile = DEFAULT) -> DataFrame:
-    """One row for each listing row: fields, review_flags (an array) and source_provenance."""
-    df = looked_up(listing, caches)
+    """One row for each listing row: fields, review flags and source_provenance.
+
+    The looked-up rows are checkpointed: several sinks read them, and the joins' constraints would otherwise be
+    carried through every rule, which makes planning explode."""
+    df = checkpointed(looked_up(listing, caches))
     v, a, m, o, i = F.col("verification"), F.col("archive"), F.col("collector.mapped"), F.col("collector.original"), F.col("identity")
     df = df.withColumn("event_uid", text_of(first_nonblank(F.col("uid"), v["archive_uid"], v["www_uid"], a["uid"])))
     credit = text_of(first_nonblank(i["archive_credit"], a["artist_display_text"], v["archive_artist"], o["artist_display_text"], m["contributor_name"]))

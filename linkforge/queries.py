@@ -107,7 +107,7 @@ def q11_strip_html(s, d):
 
 
 def _tracked(url: Column) -> Column:
-    return F.concat(F.lit(" "), F.regexp_replace(url, "^https?://", "HTTPS://"), F.lit("?utm_source=x&b=2&a=1&c=%20y&gclid=7#part "))
+    return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "^https?://", "HTTPS://"), F.lit("?utm_source=x&b=2&a=1&c=%20y&gclid=7#part "))
 
 
 @query
@@ -169,7 +169,7 @@ def q17_best_by_rank(s, d):
 def q17_people_merge(s, d):
     """Per document the people of falling confidence, distinct in lower case."""
     c = table(s, d, "conversations")
-    names = F.transform(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1)), lambda x: x)
+    names = F.regexp_extract_all("text", F.lit(" ([A-Z][a-z]+)"), F.lit(1))
     rows = c.select("conv_id", (F.col("turn") * 1.0).alias("confidence"), F.col("turn"), F.posexplode(names).alias("i", "name")).withColumn("pos", F.col("turn") * 100_000 + F.col("i"))
     merged = ordering.merged_people(rows, ["conv_id"])
     return merged.select("conv_id", F.array_join(F.transform(F.slice("people", 1, 3), lambda p: F.lower(p["name"])), "|").alias("top"), F.size("people").cast("long").alias("n"))
