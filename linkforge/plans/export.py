@@ -9,6 +9,7 @@ from linkforge.operators.keyed import attempt_window, overlay_changes
 from linkforge.operators.ordering import first_wins
 from linkforge.operators.schema import Mapping, Schema, project, validate
 from linkforge.profile import DEFAULT, Profile
+from linkforge.runtime import checkpointed
 from linkforge.sources.sinks import write_csv, write_json
 
 
@@ -17,7 +18,8 @@ def accept_reject(rows: DataFrame, order: Column, p: Profile = DEFAULT) -> DataF
 
     Numbers are exact ranks over the whole file: a range partitioning by the order, and offsets per partition."""
     keyed = rows.withColumn("_order", order)
-    ranged = keyed.repartitionByRange("_order").sortWithinPartitions("_order").withColumn("_id", F.monotonically_increasing_id())
+    # checkpointed, as both the counts and the rows must see the same partitions
+    ranged = checkpointed(keyed.repartitionByRange("_order").sortWithinPartitions("_order").withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = ranged.select(part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each partition

@@ -9,6 +9,7 @@ from linkforge.operators.lookup import Index, fallback_lookup, keyed_union
 from linkforge.operators.ordering import best_by, first_wins
 from linkforge.operators.rules.decide import attribution, image_active, match_status, match_warnings, scores
 from linkforge.profile import DEFAULT, Profile
+from linkforge.runtime import checkpointed
 
 TARGET = ("uid", "title", "artist", "description", "image_urls", "image_alt_text", "source", "_ord")
 
@@ -64,6 +65,7 @@ def verify(targets: DataFrame, archive: DataFrame, listing: DataFrame, probes: D
     a, w = F.col("archive"), F.col("www")
     urls = F.array_distinct(F.filter(F.concat(F.coalesce(a["image_urls"], F.array().cast("array<string>")), F.col("image_urls")), lambda u: text_of(u) != ""))
     df = df.withColumn("urls", F.when(a.isNotNull(), urls).otherwise(F.array().cast("array<string>"))).withColumn("_id", F.monotonically_increasing_id())
+    df = checkpointed(df)  # images are joined back by _id, so it must not be computed twice
     rows = df.select("_id", F.coalesce(blank(a["image_alt_text"]), F.col("image_alt_text")).alias("alt"), a["canonical_source_url"].alias("page"), F.posexplode("urls").alias("pos", "url"))
     if probes is None:
         rows = rows.withColumn("active", F.lit(False)).withColumn("review", F.lit(False)).withColumn("credit", F.lit(None).cast("string"))

@@ -31,11 +31,13 @@ def search(view: DataFrame, name: str = "all", query: str = "", sort: str = "pri
 
 
 def export_by_keys(rows: DataFrame, keys: DataFrame, uid: str = "event_uid", slug: str = "project_slug", title: str = "project_title") -> DataFrame:
-    """Rows of which the identifier, slug or title is among the keys (column key): a semi-join on exploded keys."""
-    tagged = rows.withColumn("_row", F.monotonically_increasing_id())
-    own = tagged.select("_row", F.explode(F.array_distinct(F.array(F.trim(uid), F.trim(slug), F.trim(title)))).alias("key")).where("key != ''")
-    hit = own.join(keys.select("key").distinct(), "key", "left_semi").select("_row").distinct()
-    return tagged.join(hit, "_row", "left_semi").drop("_row")
+    """Rows of which the identifier, slug or title is among the keys (column key)."""
+    own = [F.trim(c) for c in (uid, slug, title)]
+    wanted = keys.select("key").where("key != ''").distinct()
+    marked = rows
+    for i, c in enumerate(own):  # one left join for each key column; the wanted side is distinct, so rows neither multiply nor go
+        marked = marked.join(wanted.select(F.col("key").alias(f"_k{i}")), c == F.col(f"_k{i}"), "left")
+    return marked.where("coalesce(_k0, _k1, _k2) is not null").drop("_k0", "_k1", "_k2")
 
 
 def file_label(label: str) -> str:
