@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from linkforge.llm import words
 from linkforge.runtime import checkpointed
 
 #: Words of a shingle; bins for each shingle as a power of two; items below this size skip the bins.
@@ -53,7 +54,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     are contained in nothing. Repeated rows of either side count once. Null ids are left out. Other columns
     are ignored. Empty tables give an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = words.id_and_text(docs).where("doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), word_array(F.col("text").cast("string")).alias("item_words")).where("item_id is not null and size(item_words) > 0")
     items = checkpointed(items.withColumn("item_shingles", _shingles("item_words")).dropDuplicates(["item_id", "item_shingles"]))
     hashed = items.select("item_id", F.size("item_shingles").alias("n_item"), F.explode(_hashes("item_words")).alias("h")).distinct()

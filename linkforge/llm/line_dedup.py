@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from linkforge.llm import words
-from linkforge.llm.repeats import Rule, covered, repeated_windows
+from linkforge.llm.repeats import Rule, covered, repeated_runs, without_runs
 from linkforge.runtime import ship
 
 #: Lines of the shortest run that is removed; fingerprints are single line hashes, minima of this many in a row.
@@ -28,16 +28,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batch):
             more = [c for c in part.schema.names if c == "rest"]
             n, gone, texts = [], [], []
-            for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist()):
+            for text, runs, copy in zip(*(part.column(c).to_pylist() for c in ("text", "runs", "copy"))):
                 size = len(lines((text or "").encode()))
+                drop = covered(runs, copy, LENGTH, size)
                 n.append(size)
-                if not starts:
+                if drop is None:
                     gone.append(0), texts.append(text)
                     continue
-                drop = iter(covered(starts, LENGTH, size).tolist())
-                kept = [x for x in text.split("\n") if not (x.encode().split() and next(drop))]
-                texts.append("\n".join(kept))
-                gone.append(int(covered(starts, LENGTH, size).sum()))
+                gone.append(int(drop.sum()))
+                marks = iter(drop.tolist())
+                texts.append("\n".join(x for x in text.split("\n") if not (x.encode().split() and next(marks))))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), *(part.column(c) for c in more)],
                 names=["doc_id", "text", "n_lines", "n_removed", *more],
@@ -57,10 +57,9 @@ def line_dedup(docs: DataFrame, rest: Column | None = None) -> DataFrame:
     """
     ship(docs.sparkSession)
     more = [] if rest is None else [rest.alias("rest")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    known = docs.where("doc_id is not null")
-    marked = known.join(repeated_windows(known, RULE), "doc_id", "left")
-    strays = docs.where("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>"))
+    docs = words.id_and_text(docs, *more)
+    marked = repeated_runs(docs.where("doc_id is not null"), RULE)
+    strays = without_runs(docs.where("doc_id is null"))
     schema = T._parse_datatype_string("doc_id long, text string, n_lines long, n_removed long")
     for field in docs.schema.fields[2:]:
         schema = schema.add(field)

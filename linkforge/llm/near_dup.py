@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     component and are kept. Other columns are ignored. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = words.id_and_text(docs)
     signed = checkpointed(docs.mapInArrow(_sign, "doc_id long, n long, digest binary, sig binary, bands array<long>"))
     classes = checkpointed(
         signed.where("digest is not null and doc_id is not null")

@@ -434,5 +434,5 @@ def find_pii(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = words.id_and_text(docs)
     return docs.mapInArrow(_scanner(trained()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")

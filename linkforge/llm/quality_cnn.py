@@ -179,7 +179,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     """
     ship(docs.sparkSession)
     model = fit(*sample(docs, labels))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = words.id_and_text(docs)
     return docs.mapInArrow(_scorer(model), "doc_id long, score double").select(
         "doc_id",
         F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0"), F.lit(False)).alias("held_out"),

@@ -129,7 +129,7 @@ def quality_rules(docs: DataFrame, rest: Column | None = None) -> DataFrame:
     """
     ship(docs.sparkSession)
     more = [] if rest is None else [rest.alias("rest")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    docs = words.id_and_text(docs, *more)
     schema = T._parse_datatype_string(
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lost_chars long, base_failed boolean, kept boolean, clean_text string"
     )

@@ -4,12 +4,17 @@ A text is a sequence of tokens (words, or lines). A run of T tokens is a window.
 k consecutive tokens and takes the smallest hash of each T - k + 1 in a row, so each window has one
 fingerprint (its anchor) and equal windows have equal anchors at equal offsets.
 
-1. Anchors are counted with partial aggregation; those seen once cannot lie in a repeated window.
-2. Occurrences of shared anchors are found by a shuffled semi join, never by pairing occurrences.
-3. Each occurrence is extended both ways: the windows that it anchors are hashed with all their tokens
-   left and right of it. Grouping these finds the first place of each extended match, and a join on the
-   hash marks every later one. Hot anchors are aggregated before they move and split by skew handling.
-4. Overlapping later windows merge into maximal runs, which are removed.
+1. Of documents with equal texts only the first is searched; what the others repeat is known.
+2. Anchors are counted with partial aggregation; those seen once cannot lie in a repeated window.
+   Occurrences of shared anchors are found by a shuffled semi join, never by pairing occurrences.
+3. Each occurrence is extended both ways as far as windows have it as their anchor. Occurrences whose
+   whole extent is equal form a class: all but its first place are repeats, whatever stands around them.
+4. The first places of classes are compared window by window, as extents may agree in part: grouping
+   window hashes finds the first place of each, and a join marks the others.
+5. Overlapping later windows merge into maximal runs, which are removed.
+
+Groups are reduced by partial aggregates before they move. Joins back to a group's first place use a key of
+their own, so that both sides are exchanged for the join and adaptive execution can split a hot key.
 """
 
 from __future__ import annotations
@@ -42,13 +47,15 @@ class Rule:
         if not len(at):
             none = np.empty(0, np.int64)
             return none, none, whole[:0], whole[:0], none
+        # a gram's leading bits over its position: one sliding minimum gives the leftmost smallest gram
         grams = words.rolling(flat, self.gram)
-        best, where = grams[at], at.copy()
-        for step in range(1, self.length - self.gram + 1):
-            other = grams[at + step]
-            less = other < best
-            best = np.where(less, other, best)
-            where = np.where(less, at + step, where)
+        low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+        width, span = self.length - self.gram + 1, 1
+        while 2 * span <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        where = (np.minimum(low[at], low[at + (width - span)]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        best = grams[where]
         starts, ends = words.spans(counts)
         row = np.searchsorted(ends, at, side="right")
         return row, at - starts[row], whole[at], best, where - starts[row]
@@ -58,61 +65,113 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _heads(row: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Where the windows of a new anchor begin."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (where[1:] != where[:-1])
+    return np.flatnonzero(new)
+
+
 def _anchors(rule: Rule, counted: bool):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch):
                 row, _, _, anchor, where = rule.windows(words.raw_texts(part))
-                first = np.ones(len(row), bool)
-                first[1:] = (row[1:] != row[:-1]) | (where[1:] != where[:-1])
-                row, anchor, where = row[first], anchor[first], where[first]
+                head = _heads(row, where)
                 if counted:
-                    anchor, n = np.unique(anchor, return_counts=True)
+                    anchor, n = np.unique(anchor[head], return_counts=True)
                     yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(np.minimum(n, 2).astype(np.int8))], names=["anchor", "n"])
                 else:
-                    ids = part.column("doc_id").take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([_signed(anchor), ids, pa.array(where.astype(np.int32))], names=["anchor", "doc_id", "pos"])
+                    ids = part.column("doc_id").take(pa.array(row[head]))
+                    yield pa.RecordBatch.from_arrays([_signed(anchor[head]), ids, pa.array(where[head].astype(np.int32))], names=["anchor", "doc_id", "pos"])
 
     return emit
 
 
-def _extended(rule: Rule):
+def _extents(rule: Rule, with_windows: bool):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch):
-                row, start, whole, _, where = rule.windows(words.raw_texts(part))
-                seeds = part.column("seeds").to_pylist()
-                known = np.concatenate([np.asarray(s or [], np.int64) + (i << 32) for i, s in enumerate(seeds)])
+                row, start, whole, anchor, where = rule.windows(words.raw_texts(part))
+                known = np.concatenate([np.asarray(s or [], np.int64) + (i << 32) for i, s in enumerate(part.column("seeds").to_pylist())])
                 hit = np.isin((row << 32) + where, known)
-                ids = part.column("doc_id").take(pa.array(row[hit]))
-                yield pa.RecordBatch.from_arrays([_signed(whole[hit]), ids, pa.array(start[hit].astype(np.int32))], names=["window", "doc_id", "start"])
+                row, start, whole, anchor, where = (x[hit] for x in (row, start, whole, anchor, where))
+                head = _heads(row, where)
+                size = np.diff(np.concatenate([head, [len(row)]]))
+                tagged = words.mix(whole ^ words.mix((where - start).astype(np.uint64)))
+                extent = words.mix(np.add.reduceat(tagged, head) ^ anchor[head]) if len(head) else whole
+                cols = [_signed(extent), part.column("doc_id").take(pa.array(row[head])), pa.array(start[head].astype(np.int32))]
+                names = ["extent", "doc_id", "start"]
+                if with_windows:
+                    offsets = np.concatenate([head, [len(row)]]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), _signed(whole)))
+                    names.append("windows")
+                else:
+                    cols.append(pa.array(size.astype(np.int32)))
+                    names.append("size")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return emit
 
 
-def repeated_windows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, starts array<int>): windows of each document whose tokens also start earlier.
+def _fresh_key(column: str):
+    """A join key that Spark must exchange for: the same value under an expression of its own."""
+    return (F.col(column) + F.lit(1)).alias("key")
+
+
+def with_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id not null, text, ...) with ``copy``: a smaller doc_id has the same text."""
+    digests = docs.select("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("digest"))
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
+    firsts = firsts.select(F.concat("digest", F.lit("+")).alias("key"), "first")
+    copies = digests.withColumn("key", F.concat("digest", F.lit("+"))).join(firsts, "key").where("doc_id != first")
+    return docs.join(copies.groupBy("doc_id").agg(F.lit(True).alias("copy")), "doc_id", "left")
 
-    Earlier means a smaller doc_id, or the same document and a smaller start. ``docs`` has doc_id (not
-    null), text and whatever the caller joins the result to: the exchange of ``docs`` by doc_id is planned
-    alike here and there, so texts are shuffled once. Rows that repeat a doc_id count as one place.
+
+def repeated_runs(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``docs`` with ``runs`` (array of start, size): windows of the document whose tokens also start earlier,
+    NULL if there are none, and ``copy``: an earlier document has the same text, so all its windows do.
+
+    Earlier means a smaller doc_id, or the same document and a smaller start. ``docs`` has doc_id (not null),
+    text and whatever else shall come along. Rows that repeat a doc_id count as one place. Every branch reads
+    the same exchange of ``docs``, so texts are shuffled once.
     """
-    plain = docs.select("doc_id", "text")
+    flagged = with_copies(docs)
+    own = flagged.where("copy is null")
+    plain = own.select("doc_id", "text")
     counts = plain.mapInArrow(_anchors(rule, True), "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n"))
-    shared = counts.where("n > 1").select("anchor")
-    seen = plain.mapInArrow(_anchors(rule, False), "anchor long, doc_id long, pos int")
-    seeds = seen.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
-    windows = docs.join(seeds, "doc_id").mapInArrow(_extended(rule), "window long, doc_id long, start int")
-    firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first")
-    later = windows.join(firsts, "window").where(F.struct("doc_id", "start") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-
-
-def covered(starts: list[int] | None, length: int, size: int) -> np.ndarray:
-    """Tokens that the windows cover: overlapping windows merge into maximal runs."""
-    edge = np.zeros(size + length + 1, np.int32)
-    if starts:
-        at = np.asarray(starts, np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
+    shared = counts.where("n > 1").select(_fresh_key("anchor"))
+    seen = plain.mapInArrow(_anchors(rule, False), "anchor long, doc_id long, pos int").select(_fresh_key("anchor"), "doc_id", "pos")
+    seeds = seen.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
+    seeded = own.join(seeds, "doc_id").select("doc_id", "text", "seeds")
+    classes = (
+        seeded.mapInArrow(_extents(rule, True), "extent long, doc_id long, start int, windows array<long>")
+        .groupBy("extent").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("windows").alias("windows"), F.count(F.lit(1)).alias("n"))
+    )
+    places = seeded.mapInArrow(_extents(rule, False), "extent long, doc_id long, start int, size int").select(_fresh_key("extent"), "doc_id", "start", "size")
+    firsts = classes.where("n > 1").select(_fresh_key("extent"), "first")
+    whole = places.join(firsts, "key").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "size")
+    windows = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("from"), F.posexplode("windows").alias("i", "window"))
+    windows = windows.select("window", "doc_id", (F.col("from") + F.col("i")).alias("start"))
+    least = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(_fresh_key("window"), "first")
+    partly = windows.select(_fresh_key("window"), "doc_id", "start").join(least, "key").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).alias("size"))
+    runs = whole.unionByName(partly).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    return flagged.join(runs, "doc_id", "left")
+
+
+def covered(runs: list[dict] | None, copy: bool | None, length: int, size: int) -> np.ndarray | None:
+    """Tokens that the windows cover, None if there are none: overlapping windows merge into maximal runs."""
+    if copy:
+        return np.ones(size, bool) if size >= length else None
+    if not runs:
+        return None
+    edge = np.zeros(size + 1, np.int32)
+    start = np.asarray([r["start"] for r in runs], np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + np.asarray([r["size"] for r in runs], np.int64) + length - 1, -1)
     return np.cumsum(edge[:size]) > 0
+
+
+def without_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` in the shape of ``repeated_runs``, with nothing found."""
+    return docs.selectExpr("*", "cast(null as boolean) as copy", "cast(null as array<struct<start:int,size:int>>) as runs")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from linkforge.llm import words
-from linkforge.llm.repeats import Rule, covered, repeated_windows
+from linkforge.llm.repeats import Rule, covered, repeated_runs, without_runs
 from linkforge.runtime import ship
 
 #: Words of the shortest repeat, and of the winnowed seeds inside it.
@@ -22,9 +20,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch):
             n, gone, texts = [], [], []
-            for text, starts in zip(words.raw_texts(part), part.column("starts").to_pylist()):
+            for text, runs, copy in zip(words.raw_texts(part), part.column("runs").to_pylist(), part.column("copy").to_pylist()):
                 row = text.split()
-                drop = covered(starts, LENGTH, len(row)) if starts else None
+                drop = covered(runs, copy, LENGTH, len(row))
                 n.append(len(row))
                 gone.append(0 if drop is None else int(drop.sum()))
                 texts.append(b" ".join(row if drop is None else [w for w, d in zip(row, drop.tolist()) if not d]))
@@ -45,8 +43,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where("doc_id is not null")
-    marked = known.join(repeated_windows(known, RULE), "doc_id", "left")
-    strays = docs.where("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>"))
-    return marked.select("doc_id", "text", "starts").unionByName(strays).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    docs = words.id_and_text(docs)
+    marked = repeated_runs(docs.where("doc_id is not null"), RULE)
+    strays = without_runs(docs.where("doc_id is null"))
+    return marked.unionByName(strays).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")

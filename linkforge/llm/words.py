@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Odd multipliers for rolling hashes and for the finalizer.
 BASE = 0x9E3779B97F4A7C15
@@ -108,3 +109,11 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def id_and_text(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id (long), text (string) and ``more``. Columns that have their type already are taken as they are:
+    an alias would make equal exchanges look different and keep Spark from reusing them."""
+    kinds = dict(docs.dtypes)
+    own = [F.col(c) if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))]
+    return docs.select(*own, *more)
