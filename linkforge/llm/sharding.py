@@ -46,7 +46,7 @@ def _literals(spark: SparkSession, nodes: list[Node]) -> DataFrame:
 
 
 #: Position along a node's dimension, then by hash: a whole number of 56 bits.
-_KEY = F.expr(f"shiftleft(cast(greatest(least(floor((dims[dim] - low) * scale), {(1 << VALUE_BITS) - 1}), 0) as bigint), {HASH_BITS}) + tie")
+_KEY = f"shiftleft(cast(greatest(least(floor((dims[dim] - low) * scale), {(1 << VALUE_BITS) - 1}), 0) as bigint), {HASH_BITS}) + tie"
 
 
 def _code(column: str) -> Column:
@@ -60,7 +60,7 @@ def _cut(rows: DataFrame, nodes: list[Node]) -> None:
     while undecided and bits > 0:
         bits -= STEP_BITS
         frame = rows.select("node", "dims", "tie", "size").join(_literals(rows.sparkSession, undecided), "node")
-        bucket = F.shiftright(_KEY - F.col("at"), bits)
+        bucket = F.shiftright(F.expr(_KEY) - F.col("at"), bits)
         histogram = (
             frame.select("node", "goal", "before", bucket.alias("bucket"), "size").where(F.col("bucket").between(0, (1 << STEP_BITS) - 1))
             .groupBy("node", "goal", "before", "bucket").agg(F.sum("size").cast("double").alias("weight"), F.count(F.lit(1)).alias("n"))
@@ -120,7 +120,7 @@ def kd_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
                 n.low, n.goal = r[f"low{n.dim}"], float(r.bytes) * (n.leaves // 2) / n.leaves
                 n.scale = ((1 << VALUE_BITS) - 1) / width(r, n.dim) if width(r, n.dim) else 0.0
         _cut(placed, nodes)
-        side = F.when(F.col("at").isNull() | (_KEY < F.col("at")), F.col("node")).otherwise(F.col("above"))
+        side = F.when(F.col("at").isNull() | (F.expr(_KEY) < F.col("at")), F.col("node")).otherwise(F.col("above"))
         placed = placed.join(_literals(rows.sparkSession, nodes), "node", "left").select(*rows.columns, side.alias("node"))
         nodes = [x for n in nodes for x in (Node(n.shard, n.leaves // 2), Node(n.shard + n.leaves // 2, n.leaves - n.leaves // 2))]
     placed = placed.select("doc_id", "size", "text_crc32", "hash", F.col("node").alias("shard")).withColumn("part", F.pmod(F.shiftright("hash", 20), F.lit(buckets)))
