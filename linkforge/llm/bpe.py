@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
 import regex
 
+#: A blank beside other white space.
+_DOUBLE = re.compile(r"\s | \s")
 #: Rank of a pair that does not merge.
 NONE = np.int64(1 << 30)
 
@@ -85,12 +88,24 @@ class Vocabulary:
         return out
 
     def pretokens(self, text: str) -> list[str]:
-        """Pre-tokens in order; the strings of added tokens come out whole, as the library's default has it."""
-        if self.cut is None or not any(a in text for a in self.added):
+        """Pre-tokens in order; the strings of added tokens come out whole, as the library's default has it.
+
+        No pre-token holds a blank but as its first character, so a text without white space beside a blank
+        falls apart before its blanks, and a part of letters alone is one pre-token without matching."""
+        if self.cut is not None and any(a in text for a in self.added):
+            out: list[str] = []
+            for i, piece in enumerate(self.cut(text)):
+                out += [piece] if i % 2 else self.pretokens(piece)
+            return out
+        if not text or _DOUBLE.search(text) or text[0] == " " or text[-1] == " ":
             return self.split(text)
-        out: list[str] = []
-        for i, piece in enumerate(self.cut(text)):
-            out += [piece] if i % 2 else self.split(piece)
+        first, *rest = text.split(" ")
+        out = self.split(first)
+        for word in rest:
+            if word.isalpha():
+                out.append(" " + word)
+            else:
+                out += self.split(" " + word)
         return out
 
 

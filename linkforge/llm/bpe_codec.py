@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from linkforge.llm.bpe import NONE, Vocabulary, vocabulary
 from linkforge.runtime import ship
 
 #: Pre-tokens whose ids a worker remembers; when full, the table starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Tree cells that one batch of trees may hold.
 TREE_CELLS = 1 << 21
 
@@ -73,9 +74,9 @@ def _forest(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, width:
             nodes >>= 1
 
 
-def encode_pretokens(vocab: Vocabulary, tokens: list[bytes]) -> list[np.ndarray]:
+def encode_pretokens(vocab: Vocabulary, tokens: list[bytes]) -> list[list[int]]:
     """Ids of each pre-token. Lengths are grouped by powers of two so that trees of a batch match."""
-    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(tokens)
+    out: list[list[int]] = [[]] * len(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     classes = np.maximum(1, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     for width in np.unique(classes).tolist():
@@ -91,9 +92,10 @@ def encode_pretokens(vocab: Vocabulary, tokens: list[bytes]) -> list[np.ndarray]
                 grid, alive = _forest(vocab, grid, lengths, width)
             else:
                 alive = grid >= 0
-            ids, ends = grid[alive], np.cumsum(alive.sum(axis=1))
-            for i, part in zip(some.tolist(), np.split(ids, ends[:-1])):
-                out[i] = part
+            ids, start = grid[alive].tolist(), 0
+            for i, end in zip(some.tolist(), np.cumsum(alive.sum(axis=1)).tolist()):
+                out[i] = ids[start:end]
+                start = end
     return out
 
 
@@ -107,17 +109,10 @@ class Encoder:
         rows = [self.vocab.pretokens(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {t: [i] for t, i in self.vocab.added.items()}
-        known = self.known
-        new = list({t for row in rows for t in row} - known.keys())
-        for t, ids in zip(new, encode_pretokens(self.vocab, [t.encode() for t in new])):
-            known[t] = ids.tolist()
-        out = []
-        for row in rows:
-            ids: list[int] = []
-            for t in row:
-                ids += known[t]
-            out.append(ids)
-        return out
+        new = list(set().union(*rows).difference(self.known))
+        self.known.update(zip(new, encode_pretokens(self.vocab, [t.encode() for t in new])))
+        ids_of = self.known.__getitem__
+        return [list(chain.from_iterable(map(ids_of, row))) for row in rows]
 
 
 def decode(vocab: Vocabulary, ids: list[int]) -> str:
@@ -149,20 +144,22 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     empty result. ``path`` must exist on every worker.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = words.id_and_text(docs)
     return docs.mapInArrow(_coder(path), "doc_id long, ids array<int>, decoded string")
 
 
 def _digester(path: str):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _coder(path)(batches):
-            ids = part.column("ids").to_pylist()
-            coded = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
-            texts = [hashlib.sha256(t.encode()).hexdigest() for t in part.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(coded), pa.array(texts)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        vocab = vocabulary(path)
+        encoder, name_of = Encoder(vocab), list(map(str, range(len(vocab.bytes)))).__getitem__
+        for batch in batches:
+            for part in words.slices(batch):
+                n, coded, texts = [], [], []
+                for ids in encoder.encode([t or "" for t in part.column("text").to_pylist()]):
+                    n.append(len(ids))
+                    coded.append(hashlib.sha256(",".join(map(name_of, ids)).encode()).hexdigest())
+                    texts.append(hashlib.sha256(decode(vocab, ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest
 
@@ -171,5 +168,5 @@ def code_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of what
     ``encode_decode`` gives, hashed where the ids are made so that they need not leave the worker."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = words.id_and_text(docs)
     return docs.mapInArrow(_digester(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

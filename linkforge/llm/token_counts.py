@@ -72,7 +72,7 @@ class Counter:
         rows = [self.vocab.pretokens(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = dict.fromkeys(self.vocab.added, 1)
-        new = list({t for row in rows for t in row} - self.known.keys())
+        new = list(set().union(*rows).difference(self.known))
         raw = [t.encode() for t in new]
         held, at = 0, 0
         for i, t in enumerate(raw):
@@ -80,7 +80,8 @@ class Counter:
             if held >= FLAT_BYTES or i == len(raw) - 1:
                 self.known.update(zip(new[at : i + 1], merge_counts(self.vocab, raw[at : i + 1]).tolist()))
                 held, at = 0, i + 1
-        return [sum(map(self.known.__getitem__, row)) for row in rows]
+        size_of = self.known.__getitem__
+        return [sum(map(size_of, row)) for row in rows]
 
 
 def _counter(path: str):
@@ -107,5 +108,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     gives an empty result. ``path`` must exist on every worker.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = words.id_and_text(docs)
     return docs.mapInArrow(_counter(path), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
