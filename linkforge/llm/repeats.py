@@ -79,11 +79,11 @@ def _anchors(rule: Rule, counted: bool):
                 row, _, _, anchor, where = rule.windows(words.raw_texts(part))
                 head = _heads(row, where)
                 if counted:
-                    anchor, n = np.unique(anchor[head], return_counts=True)
+                    anchor, n = np.unique(_counted_key(anchor[head]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(np.minimum(n, 2).astype(np.int8))], names=["anchor", "n"])
                 else:
                     ids = part.column("doc_id").take(pa.array(row[head]))
-                    yield pa.RecordBatch.from_arrays([_signed(anchor[head]), ids, pa.array(where[head].astype(np.int32))], names=["anchor", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([_signed(_counted_key(anchor[head])), ids, pa.array(where[head].astype(np.int32))], names=["anchor", "doc_id", "pos"])
 
     return emit
 
@@ -114,6 +114,17 @@ def _extents(rule: Rule, with_windows: bool):
     return emit
 
 
+def _counted_key(anchor: np.ndarray) -> np.ndarray:
+    """Six bytes of an anchor: enough to tell which are seen once, and a quarter less to shuffle. Two anchors with
+    one key only make more occurrences pass to the next step."""
+    return anchor >> np.uint64(16)
+
+
+def _place():
+    """doc_id and start as one number in their order: a hash aggregate can hold its minimum, other than a struct's."""
+    return F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("start").cast("decimal(10,0)")
+
+
 def _fresh_key(column: str):
     """A join key that Spark must exchange for: the same value under an expression of its own."""
     return (F.col(column) + F.lit(1)).alias("key")
@@ -153,8 +164,8 @@ def repeated_runs(docs: DataFrame, rule: Rule) -> DataFrame:
     whole = places.join(firsts, "key").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "size")
     windows = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("from"), F.posexplode("windows").alias("i", "window"))
     windows = windows.select("window", "doc_id", (F.col("from") + F.col("i")).alias("start"))
-    least = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(_fresh_key("window"), "first")
-    partly = windows.select(_fresh_key("window"), "doc_id", "start").join(least, "key").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).alias("size"))
+    least = windows.groupBy("window").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(_fresh_key("window"), "first")
+    partly = windows.select(_fresh_key("window"), "doc_id", "start").join(least, "key").where(_place() != F.col("first")).select("doc_id", "start", F.lit(1).alias("size"))
     runs = whole.unionByName(partly).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     return flagged.join(runs, "doc_id", "left")
 
