@@ -114,6 +114,28 @@ def _extents(rule: Rule, with_windows: bool):
     return emit
 
 
+def _passages(rule: Rule, least: int):
+    """Every run of fewer than ``rule.length`` tokens that holds ``least`` words or more: its hash, place and tokens."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch):
+                rows = [rule.split(t) for t in words.raw_texts(part)]
+                counts = np.fromiter(map(len, rows), np.int64, len(rows))
+                tokens = [w for row in rows for w in row]
+                flat, total = words.hashed(tokens), np.cumsum([0, *(len(w.split()) for w in tokens)])
+                starts, ends = words.spans(counts)
+                for size in range(1, rule.length):
+                    whole = words.rolling(flat, size)
+                    at = np.flatnonzero(words.inside(counts, size, len(whole)) & (total[size:] - total[: len(whole)] >= least))
+                    row = np.searchsorted(ends, at, side="right")
+                    key = words.mix(whole[at] ^ np.uint64(size))
+                    cols = [_signed(key), part.column("doc_id").take(pa.array(row)), pa.array((at - starts[row]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["passage", "doc_id", "start", "size"])
+
+    return emit
+
+
 def _counted_key(anchor: np.ndarray) -> np.ndarray:
     """Six bytes of an anchor: enough to tell which are seen once, and a quarter less to shuffle. Two anchors with
     one key only make more occurrences pass to the next step."""
@@ -170,6 +192,17 @@ def repeated_runs(docs: DataFrame, rule: Rule) -> DataFrame:
     return flagged.join(runs, "doc_id", "left")
 
 
+def repeated_passages(docs: DataFrame, rule: Rule, least: int) -> DataFrame:
+    """doc_id and ``passages`` (array of start, size) of the documents that have any: runs of fewer than
+    ``rule.length`` tokens that hold ``least`` words or more and also start earlier, in the sense of
+    ``repeated_runs``. Documents whose whole text an earlier one has are not searched."""
+    own = with_copies(docs).where("copy is null").select("doc_id", "text")
+    found = own.mapInArrow(_passages(rule, least), "passage long, doc_id long, start int, size int")
+    firsts = found.groupBy("passage").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(_fresh_key("passage"), "first")
+    later = found.select(_fresh_key("passage"), "doc_id", "start", "size").join(firsts, "key").where(_place() != F.col("first"))
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("passages"))
+
+
 def covered(runs: list[dict] | None, copy: bool | None, length: int, size: int) -> np.ndarray | None:
     """Tokens that the windows cover, None if there are none: overlapping windows merge into maximal runs."""
     if copy:

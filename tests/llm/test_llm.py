@@ -151,6 +151,41 @@ def test_line_dedup(docs, rows, empty):
     assert {r.doc_id: r.n_removed for r in got}[91] == 6 and line_dedup(empty).count() == 0
 
 
+def brute_passages(rows, least):
+    """Lines in a run of three lines, or of one or two lines of ``least`` words, that also starts earlier."""
+    seen, out = set(), {}
+    for i, text in sorted({i: t for i, t, *_ in rows}.items()):
+        w = [x for x in (text or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        gone = [False] * len(w)
+        for a in range(len(w)):
+            for size in (1, 2, 3):
+                key = tuple(w[a : a + size])
+                if len(key) < size or (size < 3 and sum(len(x.encode().split()) for x in key) < least):
+                    continue
+                if key in seen:
+                    gone[a : a + size] = [True] * size
+                seen.add(key)
+        out[i] = (w, gone)
+    return out
+
+
+def test_line_dedup_passages(spark, rows, empty):
+    """Planted passages of one and two lines go from the second place on, shorter ones stay."""
+    rng = random.Random(11)
+    one, pair, short = sentence(rng, 25), f"{sentence(rng, 4)}\n{sentence(rng, 18)}", sentence(rng, 9)
+    planted = [row(300, f"{one}\nfirst"), row(301, f"second\n\n{one}\n{short}"), row(302, f"{pair}\nthird"), row(303, f"fourth\n{pair}"), row(304, f"{short}\nfifth"), row(305, pair), row(306, pair), row(307, short), row(308, short), row(309, f"{one}\n{one}")]
+    everything = [*rows, *planted]
+    want = brute_passages(everything, 20)
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame([*everything, row(None, one)], DOCS), passage_words=20).collect()}
+    texts = {i: t for i, t, *_ in everything}
+    for i, (w, gone) in want.items():
+        marks = iter(gone)
+        kept = None if texts[i] is None else "\n".join(x for x in texts[i].split("\n") if not (x.strip(" \t\n\r\x0b\x0c") and next(marks)))
+        assert (got[i].n_lines, got[i].n_removed, got[i].text) == (len(w), sum(gone), kept), i
+    assert {i: got[i].n_removed for i in range(300, 310)} == {300: 0, 301: 1, 302: 0, 303: 2, 304: 0, 305: 2, 306: 2, 307: 0, 308: 0, 309: 2}
+    assert got[None].text == one and line_dedup(empty, passage_words=20).count() == 0
+
+
 @given(st.lists(st.text(alphabet="ab \n", max_size=60), min_size=1, max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_windows_find_all_repeats(texts):
