@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from linkforge.llm.bpe_codec import code_digests
 from linkforge.llm.decontamination import contained_items
@@ -43,11 +43,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """One document of each group stays. Rows without doc_id are no part of a group and all stay. Rows that repeat
+    a doc_id with the same text become one (the first by their other columns); with other texts they stay."""
+    kept = docs.join(near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi").withColumn("_digest", F.sha2("text", 256))
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
+    place = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(*others or [F.lit(0)]))
+    return kept.withColumn("_place", place).where("_place = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold an item go. Rows without doc_id are told apart by a hash of their text."""
+    items = table(spark, sf_dir, "benchmark")
+    clean = docs.join(contained_items(docs, items).select("doc_id"), "doc_id", "left_anti")
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return clean.select(docs.columns)
+    hashed = nameless.withColumn("_hash", F.xxhash64("text"))
+    held = contained_items(hashed.select(F.col("_hash").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_hash"))
+    return clean.where("doc_id is not null").select(docs.columns).unionByName(hashed.join(held, "_hash", "left_anti").select(docs.columns))
 
 
 def coding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -394,3 +394,22 @@ def test_pipeline(spark):
     clean = {i: t for i, t in single.items() if not any(b and 4 * len(shingles(t) & b) >= 3 * len(b) for b in items)}
     got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, DATA).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in clean.items()}
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    """Rows without doc_id pass the stages and are decontaminated too; rows that repeat an id and text become one."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c, item = (sentence(rng, 40) for _ in range(4))
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, a, "en", "s", len(a)), (1, a, "de", "s", len(a)), (1, a, "de", "s", len(a)), (2, a, "en", "s", len(a)), (3, b, "en", "s", len(b)), (3, c, "en", "s", len(c)), (None, a, "en", "s", len(a)), (None, a, "en", "s", len(a)), (None, item, "en", "s", len(item)), (4, item, "en", "s", len(item))]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, kinds)
+    near = corpus_pipeline.near_stage(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    plain = lambda df: sorted(((r.doc_id, r.text, r.lang) for r in df.collect()), key=repr)
+    left = [(1, a, "de"), (3, b, "en"), (3, c, "en"), (None, a, "en"), (None, a, "en")]
+    assert plain(near) == sorted([*left, (None, item, "en"), (4, item, "en")], key=repr)
+    clean = corpus_pipeline.benchmark_stage(spark, near, str(tmp_path))
+    assert clean.columns == docs.columns and plain(clean) == sorted(left, key=repr)
