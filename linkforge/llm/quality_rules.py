@@ -33,13 +33,16 @@ BOILERPLATE = re.compile(
     rb"subscribe to our|sign up for|click here|read more|log in|skip to (?:main )?content|share on (?:facebook|twitter)|lorem ipsum|powered by",
     re.IGNORECASE,
 )
-NAVIGATION = re.compile(rb"\s[|>\xc2\xbb]\s|^\s*[|>]")
+NAVIGATION = re.compile(rb"\s(?:[|>]|\xc2\xbb)\s|^\s*(?:[|>]|\xc2\xbb)")
+#: Guillemets in UTF-8: a closing one that an opening one stands against is a quotation mark, others separate menu entries.
+_OPEN, _CLOSE = "«".encode(), "»".encode()
 
 
 def line_fails(line: bytes, n_words: int) -> bool:
     """Whether a line with words fails: a row of menu entries, doubled punctuation on a fifth of the
     words or more, shouting (nine in ten letters are capitals), or a short line with a boilerplate phrase."""
-    if line.count(b"|") + line.count(b" > ") >= max(2, n_words // 8) and NAVIGATION.search(line):
+    marks = line.count(b"|") + line.count(b" > ") + max(0, line.count(_CLOSE) - line.count(_OPEN))
+    if marks >= max(2, n_words // 8) and NAVIGATION.search(line):
         return True
     if n_words >= JUDGED_WORDS and 5 * len(_DOUBLED.findall(line)) >= n_words:
         return True

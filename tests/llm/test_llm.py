@@ -304,6 +304,15 @@ def test_quality_rules(spark, docs, rows, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_navigation_marks():
+    """Menus and breadcrumbs of any separator fail; quotations in guillemets and letters with the same bytes do not."""
+    fails = lambda x: quality_rules.line_fails(x.encode(), len(x.encode().split()))
+    assert all(fails(f" {mark} ".join(["Home", "News", "Local", "Mail"])) for mark in ("|", ">", "»"))
+    assert fails("» Home » News")
+    assert not fails("Home » News") and not fails("Il dit « oui » puis « non » et s'en va") and not fails("Er sagt »ja« und dann »nein« und geht")
+    assert not fails("a » b and many more plain words that follow here in one line » so that it is long enough to be plain text again")
+
+
 def brute_pii(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) < 256 for x in m.group().split("."))]
