@@ -81,6 +81,22 @@ def select_records(records: DataFrame, latest: DataFrame, action: str, count: in
     return joined.where(should_select(F.col("status"), action)).orderBy("batch_index").limit(count)
 
 
+def count_finished(latest: DataFrame) -> DataFrame:
+    """One row: how many projects have a latest status that ends them."""
+    return latest.agg(F.count_if(F.col("status").isin(*FINAL)).alias("n"))
+
+
+def default_requested_count(records: DataFrame, latest: DataFrame, action: str) -> DataFrame:
+    """One row: how many records a resume action asks for by default; those without a latest status if it is no other."""
+    joined = records.select("project_id").join(latest.select("project_id", "status", F.lit(True).alias("_known")), "project_id", "left")
+    rules = {
+        "retry_failed": F.col("status") == "failed",
+        "re_export_approved": F.col("status") == "approved",
+        "reprocess_changed_rules": ~F.col("status").eqNullSafe("approved"),
+    }
+    return joined.agg(F.count_if(rules.get(action, F.col("_known").isNull())).alias("n"))
+
+
 def next_unprocessed(candidates: DataFrame, records: DataFrame, done=("completed", "skipped", "excluded")) -> DataFrame:
     """One row: the least position whose canonical URL is absent or not done; NULL if none."""
     finished = records.where(F.col("status").isin(*done)).select("canonical_url")

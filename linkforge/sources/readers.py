@@ -180,3 +180,16 @@ def state_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
             raise
         return spark.createDataFrame([], wanted)
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+
+def disk_footprint(spark: SparkSession, root: str) -> DataFrame:
+    """directory and mb (two decimals) of the folders in ``root``, with their subfolders, and a row total_mb, the sum
+    of the others; no row if ``root`` is missing. Listed by the driver from the store's metadata."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    if store.exists(where):
+        folders = [x.getPath() for x in store.listStatus(where) if x.isDirectory()]
+        rows = sorted((x.getName(), round(store.getContentSummary(x).getLength() / 1_000_000, 2)) for x in folders)
+        rows.append(("total_mb", round(sum(mb for _, mb in rows), 2)))
+    return spark.createDataFrame(rows, "directory string, mb double")

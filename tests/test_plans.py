@@ -158,3 +158,19 @@ def test_stream_upserts(spark, tmp_path):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
         stream_upserts(spark, str(tmp_path / "in"), str(tmp_path / "state"), schema, ["k"], "n", str(tmp_path / "cp")).awaitTermination()
     assert {r.k: r.v for r in readers.state_table(spark, str(tmp_path / "state"), schema).collect()} == {1: "c", 2: "x"}
+
+
+def test_status_counts_and_footprint(spark, tmp_path):
+    from linkforge.operators import keyed
+
+    records = spark.createDataFrame([(i,) for i in "abcdef"], "project_id string")
+    latest = spark.createDataFrame([("a", "approved"), ("b", "failed"), ("c", "skipped"), ("d", "rejected"), ("x", "approved"), ("y", "failed")], "project_id string, status string")
+    assert keyed.count_finished(latest).first().n == 4
+    want = {"retry_failed": 1, "re_export_approved": 1, "reprocess_changed_rules": 5, "enrich_unprocessed": 2}
+    assert {a: keyed.default_requested_count(records, latest, a).first().n for a in want} == want
+    for name, size in (("b/deep/x.bin", 1_234_567), ("b/y.bin", 20_000), ("a/z.bin", 5_000_000), ("loose.bin", 9)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(bytes(size))
+    (tmp_path / "empty").mkdir()
+    assert [tuple(r) for r in readers.disk_footprint(spark, str(tmp_path)).collect()] == [("a", 5.0), ("b", 1.25), ("empty", 0.0), ("total_mb", 6.25)]
+    assert readers.disk_footprint(spark, f"{tmp_path}/none").count() == 0
