@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from linkforge.llm import words
-from linkforge.llm.repeats import Rule, covered, repeated_passages, repeated_runs, without_runs
+from linkforge.llm.repeats import Rule, covered, repeated_runs, without_runs
 from linkforge.runtime import ship
 
 #: Lines of the shortest run that is removed; fingerprints are single line hashes, minima of this many in a row.
@@ -71,7 +71,8 @@ def line_dedup(docs: DataFrame, rest: Column | None = None, passage_words: int |
     (smaller doc_id, or same document and earlier line); runs are judged on the input. Null texts stay
     null. With ``passage_words``, runs of one or two lines that hold so many words go by the same rule; without
     it, as in the registered query, they stay and documents under three lines are left as they are. Of equal texts the smallest doc_id keeps its
-    lines. Rows that repeat a doc_id are the same place. Rows without doc_id are left as they are. Other
+    lines. Rows that repeat doc_id and text are the same place; other texts of a doc_id are places of their own, in
+    the order of their CRC-32. Rows without doc_id are left as they are. Other
     columns are ignored, but for ``rest``: it comes along as a column of that name. An empty table gives an
     empty result.
     """
@@ -79,10 +80,9 @@ def line_dedup(docs: DataFrame, rest: Column | None = None, passage_words: int |
     more = [] if rest is None else [rest.alias("rest")]
     docs = words.id_and_text(docs, *more)
     named = docs.where("doc_id is not null")
-    marked = repeated_runs(named, RULE)
+    marked = repeated_runs(named, RULE, passage_words)
     strays = without_runs(docs.where("doc_id is null"))
     if passage_words is not None:
-        marked = marked.join(repeated_passages(named, RULE, passage_words), "doc_id", "left")
         strays = strays.selectExpr("*", "cast(null as array<struct<start:int,size:int>>) as passages")
     schema = T._parse_datatype_string("doc_id long, text string, n_lines long, n_removed long")
     for field in docs.schema.fields[2:]:

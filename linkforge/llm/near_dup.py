@@ -4,25 +4,27 @@
    of four minima each, and a packed signature that keeps the low 4 bits of 128 minima.
 2. Documents with equal sets collapse into one class by digest, so groups of copies of any size are
    one row from here on; partial aggregation absorbs them before the shuffle.
-3. Classes that share a band key are candidates. A bucket yields links to its smallest member only
-   (never pairs), and distributed components of these links give candidate clusters: every pair that
-   shares a bucket is in one cluster.
-4. A cluster is searched breadth first: bit counts over the packed signatures give the collision-
-   corrected estimate, pairs well below the threshold are dropped, and the rest are confirmed on
-   their full sets by 100 * intersection >= 75 * union. Clusters above a fixed number of shingles
-   are cut into blocks, every pair of blocks is searched, and the links found are joined again.
+3. Classes that share a band key are candidates. A bucket yields pairs of its smallest member with the others
+   only (never all pairs): a star. Bit counts over the packed signatures give the collision-corrected estimate,
+   pairs well below the threshold are dropped, the rest are confirmed on their full sets by
+   100 * intersection >= 75 * union. A star of any size is dealt out in pieces that each bring the
+   smallest member along. A group of near copies mostly ends here, in work in proportion to its size.
+4. A bucket is left over only if members other than the smallest are still in different components. Left-over
+   buckets that share a component form clusters, which are searched breadth first. A cluster above a fixed
+   number of shingles is cut into blocks and every pair of blocks is searched, so no link is lost.
 
 Two documents of similarity 0.75 share a band with probability 1 - (1 - 0.75^4)^32 = 1 - 5e-6.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from linkforge.llm import words
 from linkforge.llm.components import connected
@@ -33,6 +35,10 @@ HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 MARGIN = 0.25
 #: Shingles that one search task holds; larger clusters are cut into blocks of about this size.
 BLOCK_SHINGLES = 2_000_000
+#: Shingles in a piece of a star.
+STAR_SHINGLES = 100_000
+#: Numbers of documents (8 bytes each) that may be broadcast to pick texts before they are shuffled.
+BROADCAST_IDS = 500_000
 
 _RNG = np.random.default_rng(20_240_229)
 _MULT = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -78,34 +84,79 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch):
             n, digests, sigs, keys = [], [], [], []
-            for s in words.shingle_sets(words.raw_texts(part)):
+            texts = words.raw_texts(part)
+            for s in words.shingle_sets(texts):
                 n.append(len(s))
                 if not len(s):
                     digests.append(None), sigs.append(None), keys.append(None)
                     continue
                 m = minima(s)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sigs.append(packed(m))
+                sigs.append(np.frombuffer(packed(m), np.int64).tolist())
                 keys.append(band_keys(m))
+            crc = pa.array([zlib.crc32(t) for t in texts], pa.int64())
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "digest", "sig", "bands"],
+                [part.column("doc_id"), crc, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, longs), pa.array(keys, longs)],
+                names=["doc_id", "crc", "n", "digest", "sig", "bands"],
             )
 
 
-def linked(sets: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[int]:
-    """Index of the first member of each member's component, by breadth-first search over confirmed links."""
+def _likely(percent: int) -> Column:
+    """Whether the sizes n, m and signatures sig, other of two sets allow a link: the estimate of ``estimates``."""
+    nibbles = "transform(zip_with(sig, other, (x, y) -> x ^ y), x -> x | shiftrightunsigned(x, 2))"
+    unequal = f"aggregate(transform({nibbles}, x -> bit_count((x | shiftrightunsigned(x, 1)) & 1229782938247303441L)), 0, (a, x) -> a + x)"
+    agree, chance = 1 - F.expr(unequal) / HASHES, 1 / (1 << BITS)
+    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((agree - chance) / (1 - chance) >= percent / 100 - MARGIN)
+
+
+def _members(part: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray]]:
+    """Rows with their sets, but for rows that only share the doc_id of the text that is meant."""
+    sets = words.shingle_sets(words.raw_texts(part))
+    for row, s in zip(part.drop_columns(["text"]).to_pylist(), sets):
+        if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == row["digest"]:
+            yield row, s
+
+
+def _star(percent: int):
+    """Links of each part's first row (its centre) with the part's other rows."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centre, own = None, None, None
+        for batch in batches:
+            for part in words.slices(batch):
+                a, b = [], []
+                for row, s in _members(part):
+                    if row["part"] != key:
+                        key, centre, own = row["part"], row["node"], s
+                    elif row["node"] != centre:
+                        shared = len(np.intersect1d(own, s, assume_unique=True))
+                        if 100 * shared >= percent * (len(own) + len(s) - shared):
+                            a.append(row["node"]), b.append(centre)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return verify
+
+
+def linked(sets: list[np.ndarray], sigs: np.ndarray, known: np.ndarray, percent: int) -> np.ndarray:
+    """A component number for each member, by breadth-first search over confirmed links; members that share a
+    number in ``known`` are in one component from the start and are not compared."""
     total = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, total)
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     starts, ends = words.spans(sizes)
     mark = np.zeros(int(ids.max()) + 1, bool)
-    label = np.full(total, -1, np.int64)
-    left = np.arange(total)
+    label, left = np.full(total, -1, np.int64), np.arange(total)
+
+    def take(new: np.ndarray, component: int) -> list[int]:
+        joined = np.flatnonzero(np.isin(known, known[new]) & (label < 0))
+        label[joined] = component
+        return joined.tolist()
+
     for seed in range(total):
         if label[seed] >= 0:
             continue
-        label[seed], queue = seed, [seed]
+        queue = take(np.asarray([seed]), seed)
         left = left[label[left] < 0]
         while queue and len(left):
             v = queue.pop()
@@ -120,74 +171,101 @@ def linked(sets: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[int]:
             mark[own] = False
             hit = near[100 * shared >= percent * (sizes[v] + sizes[near] - shared)]
             if len(hit):
-                label[hit] = seed
-                queue.extend(hit.tolist())
+                queue += take(hit, seed)
                 left = left[label[left] < 0]
-    return label.tolist()
+    return label
 
 
 def _searcher(percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sigs, sets = None, [], [], []
+        key, rows, sets = None, {}, []
 
         def found() -> pa.RecordBatch:
-            first = linked(sets, np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), -1), percent)
-            low: dict[int, int] = {}
-            for i, f in enumerate(first):
-                low[f] = min(low.get(f, nodes[i]), nodes[i])
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([low[f] for f in first], pa.int64())], names=["a", "b"])
+            nodes = list(rows)
+            sigs = np.asarray([rows[x]["sig"] for x in nodes], np.int64).view(np.uint64)
+            known = np.asarray([rows[x]["label"] for x in nodes], np.int64)
+            component = linked(sets, sigs, known, percent)
+            pairs = {(int(k), int(known[c])) for k, c in zip(known, component) if k != known[c]}
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for part in words.slices(batch):
-                new = words.shingle_sets(words.raw_texts(part))
-                group, node, sig = (part.column(c).to_pylist() for c in ("part", "rep", "sig"))
-                for g, n, s, x in zip(group, node, sig, new):
-                    if g != key and nodes:
+                for row, s in _members(part):
+                    if row["part"] != key and rows:
                         yield found()
-                        nodes, sigs, sets = [], [], []
-                    key = g
-                    if len(x):
-                        nodes.append(n), sigs.append(s), sets.append(x)
-        if nodes:
+                        rows, sets = {}, []
+                    key = row["part"]
+                    if row["node"] not in rows:
+                        rows[row["node"]] = row
+                        sets.append(s)
+        if rows:
             yield found()
 
     return search
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id long, text string).
+    """doc_id, text_crc32, n_shingles, component_id and kept for every row of ``docs`` (doc_id long, text string).
 
     Words are split at ASCII white space after A-Z are lower-cased. Null and empty texts have an empty
     set, link with nothing and are kept. Texts under five words are one shingle. Equal texts, repeated
-    rows included, share a component; the smallest doc_id is kept. Rows without doc_id keep a null
-    component and are kept. Other columns are ignored. An empty table gives an empty result.
+    rows included, share a component; the smallest doc_id is kept. Rows that repeat a doc_id with another
+    text are judged by that text: each has the component of its own text, and is kept if that is named by
+    its doc_id. Rows without doc_id keep a null component and are kept. text_crc32 is that of the text's
+    UTF-8 (null: empty). Other columns are ignored. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     docs = words.id_and_text(docs)
-    signed = checkpointed(docs.mapInArrow(_sign, "doc_id long, n long, digest binary, sig binary, bands array<long>"))
-    classes = checkpointed(
+    signed = checkpointed(docs.mapInArrow(_sign, "doc_id long, crc long, n long, digest binary, sig array<long>, bands array<long>"))
+    classes = (
         signed.where("digest is not null and doc_id is not null")
         .groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     )
-    keyed = classes.select("rep", F.explode("bands").alias("bucket"))
-    heads = keyed.groupBy("bucket").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = keyed.join(heads, "bucket").select(F.col("rep").alias("a"), "b").where("a != b").distinct()
-    clusters = connected(stars)
-    sized = classes.select("rep", "n", "sig").join(clusters, F.col("rep") == F.col("node")).select("rep", "n", "sig", F.col("label").alias("cluster"))
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    # a cut cluster: each block meets every other block, and a block pair is one search of its own
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
-    groups = sized.join(blocks, "cluster").select("rep", "sig", "cluster", F.explode(pairs).alias("pair"))
-    held = docs.join(groups, docs.doc_id == groups.rep).select(F.xxhash64("cluster", "pair").alias("part"), "rep", "sig", "text")
-    links = checkpointed(
-        held.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(_searcher(percent), "a long, b long").where("a != b")
-    )
-    found = connected(links)
-    final = classes.join(found, F.col("rep") == F.col("node"), "left").where("copies > 1 or label is not null").select("digest", F.coalesce("label", "rep").alias("component"))
-    return signed.select("doc_id", "n", "digest").join(final, "digest", "left").select(
+    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """part, node, ... with the class's digest and signature and its text, by part, smallest place first."""
+        rows = checkpointed(wanted.join(classes.select("node", "rep", "digest", "sig"), "node"))
+        reps, few = rows.select(F.col("rep").alias("doc_id")).distinct(), rows.count() <= BROADCAST_IDS
+        picked = docs.join(F.broadcast(reps), "doc_id", "left_semi") if few else docs
+        held = picked.join(rows, picked.doc_id == rows.rep).select(*wanted.columns, "digest", "sig", "text")
+        return held.repartition("part").sortWithinPartitions("part", "place", "node")
+
+    keyed = classes.select("node", F.explode("bands").alias("bucket"))
+    heads = keyed.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = checkpointed(keyed.join(heads, "bucket").where("node != head").select("bucket", "node", "head", "size"))
+    sized = classes.select("node", "n", "sig")
+    stars = members.select("node", "head").distinct().join(sized, "node").join(sized.select(F.col("node").alias("head"), F.col("n").alias("m"), F.col("sig").alias("other")), "head")
+    stars = checkpointed(stars.where(_likely(percent)).select("node", "head", "n"))
+    pieces = stars.groupBy("head").agg(F.ceil(F.sum("n") / STAR_SHINGLES).cast("int").alias("pieces"))
+    part = F.xxhash64("head", "piece").alias("part")
+    points = stars.join(pieces, "head").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).select(part, "node", F.lit(1).alias("place"))
+    centres = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(part, F.col("head").alias("node"), F.lit(0).alias("place"))
+    links = checkpointed(with_texts(points.unionByName(centres)).mapInArrow(_star(percent), "a long, b long"))
+    labels = connected(links)
+
+    labelled = members.where("size > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    rest = checkpointed(labelled.join(open_, "bucket").select("node", "label", "low").distinct())
+    if not rest.isEmpty():
+        clusters = connected(rest.select(F.col("label").alias("a"), F.col("low").alias("b")))
+        rest = rest.select("node", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label").join(classes.select("node", "n"), "node")
+        blocks = rest.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        # a cut cluster: each block meets every other block, and a block pair is one search of its own
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
+        groups = rest.join(blocks, "cluster").select("node", "label", "cluster", F.explode(pairs).alias("pair")).select(F.xxhash64("cluster", "pair").alias("part"), "node", F.lit(0).alias("place"), "label")
+        more = checkpointed(with_texts(groups).mapInArrow(_searcher(percent), "a long, b long"))
+        if not more.isEmpty():
+            labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+
+    named = classes.join(labels, "node", "left").select("digest", "rep", "copies", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"))
+    least = named.where("linked").groupBy("label").agg(F.min("rep").alias("least"))
+    final = named.where("copies > 1 or linked").join(least, "label", "left").select("digest", F.coalesce("least", "rep").alias("component"))
+    return signed.select("doc_id", "crc", "n", "digest").join(final, "digest", "left").select(
         "doc_id",
+        F.col("crc").alias("text_crc32"),
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),

@@ -38,9 +38,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     A word goes if a window of 20 consecutive words of its document covers it and the window's words also
     start earlier: in a smaller doc_id, or in the same document at a smaller start. Windows are judged on
     the input. Null and empty texts have no words; texts under 20 words are left as they are. Of equal
-    texts the smallest doc_id keeps its words. Rows that repeat a doc_id are the same place, so they do
-    not remove each other. Rows without doc_id are never matched and keep every word. Other columns are
-    ignored; an empty table gives an empty result.
+    texts the smallest doc_id keeps its words. Rows that repeat doc_id and text are the same place, so they
+    do not remove each other; other texts of a doc_id are places of their own, in the order of their CRC-32.
+    Rows without doc_id are never matched and keep every word. Other columns are ignored; an empty table
+    gives an empty result.
     """
     ship(docs.sparkSession)
     docs = words.id_and_text(docs)
