@@ -23,8 +23,8 @@ from linkforge.runtime import ship
 #: Bytes of a chunk and from one chunk's start to the next's; width and step of a filter.
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 4
 DIMS, FILTERS, HIDDEN = 8, 32, 16
-#: Bounds of the training sample: labelled rows, and bytes of a text that may be among them.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 65_536
+#: Bounds of the training sample: labelled rows, and bytes of their texts together.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 20
 EPOCHS, BATCH, RATE = 10, 32, 4e-3
 #: Chunks that a forward pass holds at once.
 BLOCK = 384
@@ -143,20 +143,32 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """Whole labelled texts for fitting: at most ``rows`` of the rows not held out, in the order of a hash of
-    doc_id, texts over ``most_bytes`` left aside. Conflicting labels of one document take the larger."""
+    """Whole labelled texts for fitting: the rows not held out, in the order of a hash of doc_id, as many as
+    ``rows`` and ``most_bytes`` of text in all allow, one at least. No text is passed over for its size.
+    Conflicting labels of one document take the larger; of several texts of one doc_id the shortest counts."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where("doc_id is not null and quality is not null and pmod(crc32(cast(doc_id as string)), 5) != 0")
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").toArrow()  # `rows` rows at most
-    order = np.lexsort((np.asarray([len(x) for x in got.column("text").to_pylist()]), got.column("doc_id").to_numpy())) if got.num_rows else []
-    raw = [x.encode() for x in got.column("text").to_pylist()]
-    quality = got.column("quality").to_pylist()
-    return [raw[i] for i in order], np.asarray([float(quality[i] > 0) for i in order])
+    data = F.encode("text", "UTF-8")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumns({"size": F.octet_length(data), "crc": F.crc32(data)})
+    shortest = texts.select("doc_id", "size", "crc").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("size", "crc")).alias("t"), F.max("quality").alias("quality"))
+    known = shortest.select("doc_id", "t.size", "t.crc", "quality", F.xxhash64("doc_id").alias("place")).collect()  # `rows` rows at most
+    known.sort(key=lambda r: (r.place, r.doc_id))
+    total, taken = 0, []
+    for r in known:
+        total += r.size
+        if taken and total > most_bytes:
+            break
+        taken.append((r.doc_id, r.size, r.crc, r.quality))
+    if not taken:
+        return [], np.empty(0)
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, size int, crc long, quality int")
+    got = {r.doc_id: (r.text.encode(), float(r.quality > 0)) for r in texts.join(F.broadcast(wanted), ["doc_id", "size", "crc"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").collect()}
+    ordered = [got[i] for i in sorted(got)]
+    return [t for t, _ in ordered], np.asarray([q for _, q in ordered])
 
 
 def _scorer(model: Model):
@@ -168,17 +180,18 @@ def _scorer(model: Model):
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
     held_out: crc32 of doc_id as text is divisible by 5; such rows are never learnt from. score is the
     probability of quality label 1 from the whole text's bytes alone; null texts score as empty ones.
     predicted is 1 from ``threshold`` on. Rows are scored one by one, so repeated rows get equal scores; a
     null doc_id is not held out. Other columns are ignored; an empty table gives an empty result; without
-    usable labels the score is 0.5.
+    usable labels the score is 0.5. Weights are fitted on at most ``sample_rows`` labelled rows, fewer if
+    their texts hold more than ``sample_bytes``.
     """
     ship(docs.sparkSession)
-    model = fit(*sample(docs, labels))
+    model = fit(*sample(docs, labels, sample_rows, sample_bytes))
     docs = words.id_and_text(docs)
     return docs.mapInArrow(_scorer(model), "doc_id long, score double").select(
         "doc_id",

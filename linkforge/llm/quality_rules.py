@@ -25,32 +25,45 @@ JUDGED_WORDS = 4
 
 _SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>"))
 _NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
-_DOUBLED = re.compile(rb"!!|\?\?|###|\*\*\*|\$\$\$|%%%|&&&")
+_DOUBLED = re.compile(rb"([!?#*$%&=~_])\1")
 
-# Phrases that mark navigation and boilerplate lines.
+# Phrases that mark boilerplate lines, in English, German, French and Spanish.
 BOILERPLATE = re.compile(
-    rb"cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|javascript (?:is )?(?:disabled|required)|enable javascript|"
-    rb"subscribe to our|sign up for|click here|read more|log in|skip to (?:main )?content|share on (?:facebook|twitter)|lorem ipsum|powered by",
+    "cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|javascript (?:is )?(?:disabled|required)|enable javascript|"
+    "subscribe to our|sign up for|click here|read more|log in|skip to (?:main )?content|share on (?:facebook|twitter)|lorem ipsum|powered by|"
+    "alle rechte vorbehalten|datenschutzerklärung|allgemeine geschäftsbedingungen|cookie-richtlinie|hier klicken|mehr lesen|weiterlesen|newsletter abonnieren|"
+    "jetzt anmelden|zum inhalt springen|nutzungsbedingungen|tous droits réservés|politique de confidentialité|mentions légales|cliquez ici|lire la suite|"
+    "conditions (?:générales )?d.utilisation|abonnez-vous|se connecter|aller au contenu|todos los derechos reservados|política de (?:privacidad|cookies)|aviso legal|"
+    "términos (?:y condiciones|de uso)|haga clic aquí|leer más|suscríbe(?:te|ase)|iniciar sesión|saltar al contenido".encode(),
     re.IGNORECASE,
 )
-NAVIGATION = re.compile(rb"\s(?:[|>]|\xc2\xbb)\s|^\s*(?:[|>]|\xc2\xbb)")
-#: Guillemets in UTF-8: a closing one that an opening one stands against is a quotation mark, others separate menu entries.
-_OPEN, _CLOSE = "«".encode(), "»".encode()
-
-
-def line_fails(line: bytes, n_words: int) -> bool:
-    """Whether a line with words fails: a row of menu entries, doubled punctuation on a fifth of the
-    words or more, shouting (nine in ten letters are capitals), or a short line with a boilerplate phrase."""
-    marks = line.count(b"|") + line.count(b" > ") + max(0, line.count(_CLOSE) - line.count(_OPEN))
-    if marks >= max(2, n_words // 8) and NAVIGATION.search(line):
-        return True
-    if n_words >= JUDGED_WORDS and 5 * len(_DOUBLED.findall(line)) >= n_words:
-        return True
-    letters = line.translate(None, _NOT_LETTERS)
-    if n_words >= JUDGED_WORDS and len(letters) >= 20:
-        plain = letters.translate(None, bytes(range(128, 256)))
-        if plain and 10 * sum(map(str.isupper, plain.decode())) >= 9 * len(plain):
+# Marks that stand between menu entries. Guillemets count where no opening one makes them quotation marks.
+SEPARATORS = ("|", ">", "»", "›", "·", "•", "/", "::", "→")
+_BETWEEN = frozenset(x.encode() for x in SEPARATORS)
+_COMMON = frozenset(x.encode() for x in SEPARATORS[:3])
+_OPEN, _CLOSE = ("«".encode(), "‹".encode()), ("»".encode(), "›".encode())
+
+
+def line_fails(line: bytes, n_words: int, row: list[bytes] | None = None) -> bool:
+    """Whether a line with words (``row``, or split here) fails. Navigation: marks of one kind stand alone between
+    entries of four words or fewer on average (seven for the commonest marks), twice at least. Punctuation: doubled marks on a fifth of the
+    words or more. Shouting: nine in ten ASCII letters are capitals. Stutter: half of the words repeat the word
+    before them. Boilerplate: one of the phrases in a line of up to 20 words."""
+    row = line.split() if row is None else row
+    for mark in _BETWEEN.intersection(row):
+        n = row.count(mark)
+        if mark in _CLOSE:
+            n -= max(0, sum(line.count(x) for x in _OPEN))
+        if n >= 2 and n_words - n <= (7 if mark in _COMMON else 4) * (n + 1):
             return True
+    if n_words >= JUDGED_WORDS:
+        if 5 * len(_DOUBLED.findall(line)) >= n_words or 2 * sum(map(bytes.__eq__, row, row[1:])) >= n_words:
+            return True
+        letters = line.translate(None, _NOT_LETTERS)
+        if len(letters) >= 20:
+            plain = letters.translate(None, bytes(range(128, 256)))
+            if plain and 10 * sum(map(str.isupper, plain.decode())) >= 9 * len(plain):
+                return True
     return n_words <= 20 and BOILERPLATE.search(line) is not None
 
 
@@ -99,7 +112,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if parts:
                         dup += line in seen
                         seen.add(line)
-                        if line_fails(line, len(parts)):
+                        if line_fails(line, len(parts), parts):
                             gone += _points(b"".join(parts))
                             continue
                     kept.append(line)
