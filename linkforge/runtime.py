@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch where the session sets none: a batch of long texts stays small beside a worker's memory.
+BATCH_ROWS = "1000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session of one machine
+    gets a temporary one; a cluster has no such folder, so that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="linkforge-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext.getCheckpointDir():
@@ -55,7 +61,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application, whatever their path."""
-    context = spark.sparkContext
+    context, batch = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch, None) is None:
+        spark.conf.set(batch, BATCH_ROWS)
     if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
