@@ -205,13 +205,14 @@ def _searcher(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, text_crc32, n_shingles, component_id and kept for every row of ``docs`` (doc_id long, text string).
+    """doc_id, text_crc32, n_shingles, component_id, kept and stays for every row of ``docs`` (doc_id long, text string).
 
     Words are split at ASCII white space after A-Z are lower-cased. Null and empty texts have an empty
     set, link with nothing and are kept. Texts under five words are one shingle. Equal texts, repeated
     rows included, share a component; the smallest doc_id is kept. Rows that repeat a doc_id with another
     text are judged by that text: each has the component of its own text, and is kept if that is named by
-    its doc_id. Rows without doc_id keep a null component and are kept. text_crc32 is that of the text's
+    its doc_id; stays is as kept, but for one set of a component only, should several of its sets have that doc_id.
+    Rows without doc_id keep a null component and are kept. text_crc32 is that of the text's
     UTF-8 (null: empty). Other columns are ignored. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
@@ -260,13 +261,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         if not more.isEmpty():
             labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
-    named = classes.join(labels, "node", "left").select("digest", "rep", "copies", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"))
-    least = named.where("linked").groupBy("label").agg(F.min("rep").alias("least"))
-    final = named.where("copies > 1 or linked").join(least, "label", "left").select("digest", F.coalesce("least", "rep").alias("component"))
+    named = classes.join(labels, "node", "left").select("node", "digest", "rep", "copies", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"))
+    least = named.where("linked").groupBy("label").agg(F.min(F.struct("rep", "node")).alias("least"))
+    final = named.where("copies > 1 or linked").join(least, "label", "left").select("digest", F.coalesce("least.rep", "rep").alias("component"), F.coalesce(F.col("least.node") == F.col("node"), F.lit(True)).alias("leads"))
+    kept = F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True))
     return signed.select("doc_id", "crc", "n", "digest").join(final, "digest", "left").select(
         "doc_id",
         F.col("crc").alias("text_crc32"),
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        kept.alias("kept"),
+        (kept & F.coalesce("leads", F.lit(True))).alias("stays"),
     )

@@ -68,7 +68,7 @@ class Model:
 
     def pooled(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Max-pooled responses per chunk and filter, and where each was found."""
-        values, where = np.empty((len(rows), FILTERS), np.float32), np.empty((len(rows), FILTERS), np.int64)
+        values, where = np.empty((len(rows), FILTERS), self.filters.dtype), np.empty((len(rows), FILTERS), np.int64)
         for at in range(0, len(rows), BLOCK):
             some = self.embed[rows[at : at + BLOCK]].reshape(-1, CHUNK * DIMS)
             seen = np.lib.stride_tricks.sliding_window_view(some, WIDTH * DIMS, axis=1)[:, :: STRIDE * DIMS]
@@ -92,17 +92,17 @@ class Model:
     def predict(self, texts: list[bytes]) -> np.ndarray:
         return self._combined(texts)[-1] if texts else np.empty(0)
 
-    def learn(self, texts: list[bytes], labels: np.ndarray, rate: float) -> None:
-        """One Adam step on the mean cross entropy of a batch."""
+    def gradients(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of a batch, by weight."""
         rows, counts, p, where, all_, units, prob = self._combined(texts)
-        d = ((prob - labels) / len(texts)).astype(np.float32)
+        d = ((prob - labels) / len(texts)).astype(self.out.dtype)
         of, starts = np.repeat(np.arange(len(texts)), counts), np.cumsum(counts) - counts
         d_units = d[:, None] * self.out * (1 - units**2)
         d_all = d_units @ self.hidden.T
         d_p = (d_all[:, :FILTERS] / counts[:, None])[of]
         for part in (1, 2):  # maximum, minimum; ties share the gradient
             at = slice(part * FILTERS, (part + 1) * FILTERS)
-            hit = (p == all_[of, at]).astype(np.float32)
+            hit = (p == all_[of, at]).astype(p.dtype)
             d_p += d_all[of, at] * hit / np.add.reduceat(hit, starts)[of]
         d_p *= p > 0
         at = (where * STRIDE)[:, :, None] + np.arange(WIDTH)
@@ -112,9 +112,12 @@ class Model:
         d_inputs = (d_p[:, :, None] * self.filters.T[None]).reshape(-1, DIMS)
         flat = seen.reshape(-1)
         d_embed = np.stack([np.bincount(flat, weights=d_inputs[:, j], minlength=256) for j in range(DIMS)], axis=1)
-        steps = {"embed": d_embed, "filters": d_filters, "bias": d_p.sum(axis=0), "hidden": all_.T @ d_units, "offset": d_units.sum(axis=0), "out": units.T @ d, "base": np.asarray([d.sum()])}
+        return {"embed": d_embed, "filters": d_filters, "bias": d_p.sum(axis=0), "hidden": all_.T @ d_units, "offset": d_units.sum(axis=0), "out": units.T @ d, "base": np.asarray([d.sum()])}
+
+    def learn(self, texts: list[bytes], labels: np.ndarray, rate: float) -> None:
+        """One Adam step on a batch."""
         self.state["t"] = t = self.state.get("t", 0) + 1
-        for name, grad in steps.items():
+        for name, grad in self.gradients(texts, labels).items():
             m, v = self.state.get(name, (0.0, 0.0))
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             self.state[name] = (m, v)
