@@ -64,7 +64,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one (the first by their other columns); with another text they are judged by that text. Extra columns of any name
     come along, also those without an order; an empty table stays empty."""
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    marks = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).distinct()
+    marks = near_duplicates(docs).where("stays and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).distinct()
     kept = docs.join(marks, (docs.doc_id == marks._id) & (crc == marks._crc), "left_semi")
     repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if not repeated.isEmpty():
