@@ -36,7 +36,7 @@ MARGIN = 0.25
 #: Shingles that one search task holds; larger clusters are cut into blocks of about this size.
 BLOCK_SHINGLES = 2_000_000
 #: Shingles in a piece of a star.
-STAR_SHINGLES = 100_000
+STAR_SHINGLES = 20_000
 #: Numbers of documents (8 bytes each) that may be broadcast to pick texts before they are shuffled.
 BROADCAST_IDS = 500_000
 
