@@ -139,7 +139,7 @@ def validate_contract(df: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     bad_url = lambda n: said((clean_cell(F.col(n)) != "") & (http_url(F.col(n)) == ""), f"{n} is not a valid http(s) URL")
     errors = [
         said(clean_cell(F.col("contract_version")) != p.contract_version, f'contract_version must be "{p.contract_version}"'),
-        said(~has_minimum(), "Row needs at least one of " + ", ".join(MINIMUM)),
+        said(~has_minimum(), "Row needs at least one of " + ", ".join(MINIMUM[:-1]) + ", or " + MINIMUM[-1]),
         said((kind != "") & ~kind.isin(*KINDS), 'Invalid contributor_kind "', kind, '"'),
         said((year != "") & ~year.rlike(r"^\d{4}$"), 'year must be YYYY, got "', year, '"'),
         *[bad_url(n) for n in ("artist_website", "proof_external_url", "source_record_url")],

@@ -26,12 +26,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: dict[str, Colu
     return out.select(*cols)
 
 
-def upsert_by_canonical(old: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_by_canonical(old: DataFrame, new: DataFrame, arrival: str = "record_row_id") -> DataFrame:
     """Upsert by (source_id, canonical_url) with a second unique key, (source_id, position): a row that loses its
-    position to another gets the negative of its record id; payload columns keep old values under NULLs."""
+    position to another gets the negative of its record id; payload columns keep old values under NULLs. Of several
+    new rows of one position the last by ``arrival`` has it."""
     rows = upsert(old, new, ["source_id", "canonical_url"], {"first_discovered_at": "min", "record_row_id": "min"}, ["record_json", "row_json"])
-    fresh = new.select("source_id", F.col("position").alias("_taken"), F.col("canonical_url").alias("_by")).where("_taken > 0")
-    joined = rows.join(fresh, (rows.source_id == fresh.source_id) & (rows.position == fresh._taken) & (rows.canonical_url != fresh._by), "left")
+    fresh = new.where("position > 0").groupBy("source_id", F.col("position").alias("_taken")).agg(F.max_by("canonical_url", arrival).alias("_by"))
+    joined = rows.join(fresh.withColumnRenamed("source_id", "_source"), (F.col("source_id") == F.col("_source")) & (F.col("position") == F.col("_taken")) & (F.col("canonical_url") != F.col("_by")), "left")
     return joined.select(*[F.when(F.col("_by").isNotNull(), -F.abs("record_row_id")).otherwise(rows.position).alias(c) if c == "position" else rows[c] for c in rows.columns])
 
 

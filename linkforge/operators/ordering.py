@@ -3,7 +3,9 @@ reduces hot keys before the shuffle; no window sorts a key's rows in one task.""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from linkforge.runtime import checkpointed
 
 ORDER = "_ord"
 
@@ -13,6 +15,18 @@ def with_order(df: DataFrame, *by: Column) -> DataFrame:
     return df.withColumn(ORDER, F.struct(*by) if by else F.monotonically_increasing_id())
 
 
+def row_numbers(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """``df`` with an exact rank from 1 as column ``name``: a range partitioning by the order, and offsets per
+    partition, so that no task holds all rows."""
+    ranged = df.withColumn("_order", order).repartitionByRange("_order").sortWithinPartitions("_order").withColumn("_id", F.monotonically_increasing_id())
+    ranged = checkpointed(ranged.drop("_order"))  # the counts and the rows must see the same partitions
+    part = F.shiftright("_id", 33)
+    counts = ranged.select(part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each partition
+    out = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_start")
+
+
 def _pick(df: DataFrame, keys: list[Column], rank: Column, lowest: bool) -> DataFrame:
     names = [f"_k{i}" for i in range(len(keys))]
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])

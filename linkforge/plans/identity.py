@@ -46,13 +46,16 @@ def resolve(rows: DataFrame, pages: DataFrame | None = None, p: Profile = DEFAUL
     seeds = rows.select("key", F.posexplode(c["named_people"]).alias("pos", "name")).select("key", "pos", "name", F.lit("credited").alias("role"), F.lit(0.7).alias("confidence"))
     found = seeds.where(is_legal_name(F.col("name")))
     if pages is not None:
-        told = evidence(rows, pages, p=p).withColumn("k", F.struct("key", "url"))
+        told = evidence(rows, pages, p=p)
+        order = told.select("key", "url", F.col("pos").alias("page"))
         plain = people_in(told, ["key", "url"], "text", 0.55, p)
         linked = alias_linked(told.where(F.col("own") | has_context(F.col("text"), p)).withColumnRenamed("archive_artist", "alias"), ["key", "url"], "text", "alias")
-        for part in (plain, linked):
-            rows_of = part.select("key", F.posexplode("people").alias("pos", "p")).select("key", (F.col("pos") + 1000).alias("pos"), "p.name", "p.role", "p.confidence")
+        for i, part in enumerate((plain, linked)):
+            # among equals: the credit's own people, then by page, kind of evidence and place on the page
+            place = (F.col("page").cast("long") + 1) * 2_000_000 + i * 1_000_000 + F.col("pos")
+            rows_of = part.join(order, ["key", "url"]).select("key", "page", F.posexplode("people").alias("pos", "p")).select("key", place.alias("pos"), "p.name", "p.role", "p.confidence")
             found = found.unionByName(rows_of)
-    people = merged_people(found.withColumn("pos", F.xxhash64("pos", "name", "role")), ["key"])
+    people = merged_people(found.withColumn("pos", F.col("pos").cast("long")), ["key"])
     df = checkpointed(rows.join(people, "key", "left")).withColumn("people", F.coalesce("people", F.array().cast("array<struct<pos:bigint,name:string,role:string,confidence:double>>")))
     alias = c["credit_type"].isin(*ALIAS_TYPES)
     official = [n.lower() for n in p.official_names] or [""]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from linkforge.functions.text import blank, bool_text, joined, normalize_title, score_text, text_of
 from linkforge.operators.lookup import Index, fallback_lookup, keyed_union
-from linkforge.operators.ordering import best_by, first_wins
+from linkforge.operators.ordering import best_by, first_wins, last_wins
 from linkforge.operators.rules.decide import attribution, image_active, match_status, match_warnings, scores
 from linkforge.profile import DEFAULT, Profile
 from linkforge.runtime import checkpointed
@@ -40,9 +40,10 @@ def select_targets(scope: str, archive: DataFrame, listing: DataFrame, export: D
         return targets_from_listing(listing)
     if scope == "archive":
         return targets_from_archive(archive)
-    number = lambda df: df.withColumn("_ord", F.xxhash64("_ord"))
     key = F.coalesce(blank(F.col("uid")), normalize_title(F.col("title")))
-    return keyed_union([number(targets_from_archive(archive)), number(targets_from_listing(listing))], key, F.col("_ord"))
+    # of equal archive rows the last stands, of equal listing rows the first
+    parts = [last_wins(targets_from_archive(archive), [key], F.col("_ord")), first_wins(targets_from_listing(listing), [key], F.col("_ord"))]
+    return keyed_union([p.withColumn("_ord", F.lit(0)) for p in parts], key, F.col("_ord"))
 
 
 def archive_records(blocks: DataFrame) -> DataFrame:

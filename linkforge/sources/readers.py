@@ -6,11 +6,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from linkforge.functions.text import blank, normalize_title, strip
-from linkforge.operators.ordering import first_wins, strict_majority
+from linkforge.operators.ordering import first_wins, row_numbers, strict_majority
 from linkforge.profile import DEFAULT, Profile
 
 CSV = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -117,9 +118,13 @@ def image_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def collector_exports(spark: SparkSession, path: str) -> DataFrame:
-    """Exported records: two maps of values, and title, identifier and year coalesced from both."""
+    """Exported records (an array, or an object that holds one as records or items): two maps of values, and title,
+    identifier and year coalesced from both."""
     maps = "mapped_values map<string,string>, original_scraped_values map<string,string>, source_position int, record_status string"
-    df = read_json(spark, path, maps).withColumnsRenamed({"mapped_values": "mapped", "original_scraped_values": "original"})
+    inner = ",".join(x.strip().replace(" ", ":", 1) for x in re.split(r",\s(?=\w+ )", maps))
+    raw = read_json(spark, path, f"{maps}, records array<struct<{inner}>>, items array<struct<{inner}>>")
+    own = F.struct(*[c.split()[0] for c in re.split(r",\s(?=\w+ )", maps)])
+    df = raw.select(F.explode(F.coalesce("records", "items", F.array(own))).alias("r")).select("r.*").withColumnsRenamed({"mapped_values": "mapped", "original_scraped_values": "original"})
     both = lambda a, b: F.coalesce(blank(F.col("mapped")[a]), blank(F.col("original")[b]))
     return df.select("*", both("project_title", "title").alias("title"), both("event_uid", "uid").alias("uid"), both("project_year", "year").alias("year"), F.monotonically_increasing_id().alias("_ord"))
 
@@ -155,10 +160,40 @@ def batch_records(rows: DataFrame, keep_blank_status: bool) -> DataFrame:
     rows before the filter."""
     status = blank(F.col("record_status"))
     keep = (status == "completed") | (status.isNull() if keep_blank_status else F.lit(False))
-    place = F.row_number().over(Window.orderBy("_ord"))  # one batch: hundreds of rows
-    numbered = rows.withColumn("_n", place).where(keep)
+    numbered = row_numbers(row_numbers(rows, F.col("_ord"), "_n").where(keep), F.col("_n"), "batch_index")
     ident = F.coalesce(blank(F.col("record_id")), blank(F.col("source_url")), F.concat(F.lit("record-"), F.col("_n").cast("string")))
-    return numbered.select("*", ident.alias("project_id"), F.row_number().over(Window.orderBy("_n")).alias("batch_index")).drop("_n")
+    return numbered.select("*", ident.alias("project_id")).drop("_n")
+
+
+def first_nonempty(*found: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """The first table with a row; readers are asked in order, and one whose file is missing gives none."""
+    for read in found:
+        try:
+            df = read()
+            if df is not None and not df.isEmpty():
+                return df
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return None
+
+
+def load_batch(spark: SparkSession, json_path: str, state: DataFrame | None, csv_path: str) -> DataFrame | None:
+    """The records of a batch: its JSON export (completed or without status), else the state table's completed rows,
+    else its CSV."""
+    text = lambda df: df.select(*[F.col(c) if c == "_ord" else F.col(c).cast("string").alias(c) for c in df.columns])
+
+    def exported() -> DataFrame:
+        df = collector_exports(spark, json_path)
+        o = F.col("original")
+        return batch_records(df.select("record_status", o["record_id"].alias("record_id"), o["canonical_source_url"].alias("source_url"), "title", F.col("mapped")["contributor_name"].alias("contributor"), "_ord"), True)
+
+    def from_csv() -> DataFrame:
+        df = read_csv(spark, csv_path)
+        get = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+        return batch_records(text(df.select(F.lit("completed").alias("record_status"), get("record_id").alias("record_id"), get("proof_external_url").alias("source_url"), get("project_title").alias("title"), get("contributor_name").alias("contributor"), "_ord")), False)
+
+    return first_nonempty(exported, lambda: None if state is None else batch_records(state, False), from_csv)
 
 
 def load_config(path: str, defaults: dict) -> dict:
@@ -171,13 +206,17 @@ def load_config(path: str, defaults: dict) -> dict:
 
 
 def state_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet state table; a missing one is empty. Missing columns are added as NULL."""
+    """A Parquet state table; a missing one is empty. Missing columns are added as NULL. A version that a swap has
+    set aside stands in for the one that did not get to its place."""
     wanted = T._parse_datatype_string(schema)
-    try:
-        df = spark.read.option("mergeSchema", True).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    for where in (path, f"{path}.old"):
+        try:
+            df = spark.read.option("mergeSchema", True).parquet(where)
+            break
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+    else:
         return spark.createDataFrame([], wanted)
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields])
 

@@ -93,14 +93,18 @@ def write_batch(df: DataFrame, folder: str, overwrite: int | None = None, confir
 
 
 def replace_state(df: DataFrame, path: str) -> None:
-    """Swap a state table: the new version is written beside the old one, then renamed over it."""
+    """Swap a state table: the new version is written beside the old one, the old one is set aside, the new one
+    takes its place. After a crash at any point ``state_table`` finds one whole version."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.next")
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state, new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("", ".next", ".old"))
+    fs = state.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(state):
+        fs.delete(old, True)
+        fs.rename(state, old)
+    fs.rename(new, state)
     fs.delete(old, True)
-    fs.rename(new, old)
 
 
 def people_cell(c) -> object:

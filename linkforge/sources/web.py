@@ -9,6 +9,7 @@ import hashlib
 import time
 import urllib.error
 import urllib.request
+import urllib.robotparser
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from linkforge.functions.urls import defragment, part
-from linkforge.runtime import ship
+from linkforge.runtime import checkpointed, ship
 
 FETCHED = "url string, final_url string, status int, content_type string, body binary, sha256 string, error string"
 
@@ -77,6 +78,43 @@ def robots_urls(urls: DataFrame) -> DataFrame:
     return urls.select(F.concat(part(F.col("url"), 1), F.lit("://"), part(F.col("url"), 2), F.lit("/robots.txt")).alias("url")).distinct()
 
 
+def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """url and allowed for each of ``urls``: whether its host's robots.txt (``robots``: url, body; no row or no body:
+    nothing is forbidden) lets the agent fetch it."""
+    ship(urls.sparkSession)
+    site = F.concat(part(F.col("url"), 1), F.lit("://"), part(F.col("url"), 2))
+    rules = robots.select(F.regexp_replace("url", "/robots\\.txt$", "").alias("site"), F.col("body").cast("binary").alias("body")).dropDuplicates(["site"])
+    wanted = urls.select("url", defragment(F.col("url")).alias("bare"), site.alias("site")).join(rules, "site", "left").select("url", "bare", "site", "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, urllib.robotparser.RobotFileParser] = {}
+        for batch in batches:
+            out = []
+            for bare, host, body in zip(*(batch.column(c).to_pylist() for c in ("bare", "site", "body"))):
+                if body is None:
+                    out.append(True)
+                    continue
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[host] = urllib.robotparser.RobotFileParser()
+                    known[host].parse(body.decode("utf-8", "replace").splitlines())
+                out.append(known[host].can_fetch(agent, bare))
+            yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(out, pa.bool_())], names=["url", "allowed"])
+
+    return wanted.mapInArrow(run, "url string, allowed boolean")
+
+
+def fetch_politely(urls: DataFrame, politeness: Politeness = Politeness(), get: Callable = _get, lanes: int = 1) -> DataFrame:
+    """Fetch what robots rules allow; a forbidden URL is a row with an error. robots.txt files are fetched first."""
+    files = robots_urls(urls)
+    robots = checkpointed(fetch(files, files, politeness, get, lanes))
+    judged = checkpointed(robots_allowed(urls.select("url").distinct(), robots.where("status between 200 and 299"), politeness.agent))
+    allowed = judged.where("allowed").select("url")
+    refused = judged.where("not allowed").select("url", F.lit("robots.txt disallows fetching this URL").alias("error"))
+    return fetch(allowed, allowed, politeness, get, lanes).unionByName(refused, allowMissingColumns=True)
+
+
 def text_pages(fetched: DataFrame) -> DataFrame:
     """Successful pages of a text type, decoded."""
     kind = F.lower(F.coalesce("content_type", F.lit("")))

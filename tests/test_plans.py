@@ -174,3 +174,70 @@ def test_status_counts_and_footprint(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     assert [tuple(r) for r in readers.disk_footprint(spark, str(tmp_path)).collect()] == [("a", 5.0), ("b", 1.25), ("empty", 0.0), ("total_mb", 6.25)]
     assert readers.disk_footprint(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_positions_of_new_rows(spark):
+    """Of two new rows of one position the later has it; the old holder and the earlier one are moved away."""
+    from linkforge.operators import keyed
+
+    kinds = "source_id int, canonical_url string, position int, record_row_id int, first_discovered_at string, record_json string, row_json string"
+    old = spark.createDataFrame([(1, "o", 1, 1, "t0", "{}", None), (1, "p", 2, 2, "t0", "{}", None)], kinds)
+    new = spark.createDataFrame([(1, "a", 1, 10, "t1", None, None), (1, "b", 1, 11, "t1", None, None), (1, "p", 3, 12, "t1", None, "{}")], kinds)
+    got = {r.canonical_url: (r.position, r.first_discovered_at, r.record_json) for r in keyed.upsert_by_canonical(old, new).collect()}
+    assert got == {"o": (-1, "t0", "{}"), "a": (-10, "t1", None), "b": (1, "t1", None), "p": (3, "t0", "{}")}
+
+
+def test_targets_keep_their_direction(spark):
+    """Later archive rows overwrite, the first listing row stands, whatever the numbers of the rows."""
+    kinds = "uid string, title string, artist_display_text string, description string, image_urls array<string>, image_alt_text string, _ord int"
+    for shift in (0, 7, 1000):
+        archive = spark.createDataFrame([("u", "T", f"artist{i}", None, [], None, i + shift) for i in range(4)], kinds)
+        listing = spark.createDataFrame([("v", "V", None, f"text{i}", [], None, i + shift) for i in range(4)] + [("u", "T", None, "x", [], None, 99)], kinds)
+        got = {r.uid: (r.artist, r.description, r.source) for r in verify.select_targets("all", archive, listing).collect()}
+        assert got == {"u": ("artist3", None, "archive"), "v": (None, "text0", "listing")}
+
+
+def test_equal_confidence_goes_by_page_order(spark):
+    rows = spark.createDataFrame([("k", "Spark Collective", None)], "key string, archive_artist string, artist_website string")
+    for names in (("Ann Lee", "Bo Kim"), ("Bo Kim", "Ann Lee"), ("Cy Roe", "Ann Lee")):
+        told = spark.createDataFrame([("k", f"http://{'zyx'[i]}.example", i + 1, f"Spark Collective. Lead artist: {n}.") for i, n in enumerate(names)], "key string, url string, pos int, text string")
+        got = identity.resolve(with_credit(rows, "archive_artist", "c"), told).first()
+        places = {p.name: p.pos for p in got.people}
+        assert places[names[0]] < places[names[1]]
+
+
+def test_state_survives_a_crash_between_renames(spark, tmp_path):
+    path, schema = str(tmp_path / "state"), "k int"
+    sinks.replace_state(spark.createDataFrame([(1,)], schema), path)
+    os.rename(path, f"{path}.old")
+    assert readers.state_table(spark, path, schema).first().k == 1
+    sinks.replace_state(spark.createDataFrame([(2,)], schema), path)
+    assert [r.k for r in readers.state_table(spark, path, schema).collect()] == [2] and not os.path.exists(f"{path}.next")
+
+
+def test_batch_sources(spark, tmp_path):
+    """Records as an array or in an object; JSON first, then the state table, then CSV; ids count rows before the filter."""
+    rows = [{"mapped_values": {"project_title": f"T{i}"}, "original_scraped_values": {"record_id": "r1"} if i == 0 else {}, "record_status": s} for i, s in enumerate(("completed", "failed", None, ""))]
+    for name, doc in (("array", rows), ("records", {"records": rows}), ("items", {"items": rows})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+        got = readers.load_batch(spark, str(tmp_path / f"{name}.json"), None, "")
+        assert [(r.project_id, r.batch_index, r.title) for r in got.orderBy("batch_index").collect()] == [("r1", 1, "T0"), ("record-3", 2, "T2"), ("record-4", 3, "T3")]
+    state = spark.createDataFrame([("completed", None, "http://s", "S", None, 1), ("failed", "x", None, "F", None, 2)], "record_status string, record_id string, source_url string, title string, contributor string, _ord int")
+    assert [r.project_id for r in readers.load_batch(spark, str(tmp_path / "none.json"), state, "").collect()] == ["http://s"]
+    (tmp_path / "b.csv").write_text("project_title,record_id\nA,1\nB,\n")
+    assert [r.project_id for r in readers.load_batch(spark, str(tmp_path / "none.json"), None, str(tmp_path / "b.csv")).orderBy("batch_index").collect()] == ["1", "record-2"]
+    assert readers.load_batch(spark, str(tmp_path / "none.json"), None, str(tmp_path / "none.csv")) is None
+
+
+def test_robots_rules(spark):
+    pages = {"http://a.example/robots.txt": b"User-agent: *\nDisallow: /private\n\nUser-agent: linkforge\nDisallow: /mine\n", "http://a.example/private": b"x", "http://a.example/mine": b"x", "http://b.example/private": b"y"}
+
+    def get(url, politeness):
+        body = pages.get(url)
+        return (url, url, 200, "text/html", body, "h", None) if body else (url, url, 404, None, None, None, "HTTP 404")
+
+    urls = spark.createDataFrame([("http://a.example/private",), ("http://a.example/mine",), ("http://b.example/private",), ("http://b.example/private",)], "url string")
+    got = {r.url: (r.status, r.error) for r in web.fetch_politely(urls, web.Politeness(delay=0), get).collect()}
+    assert got == {"http://a.example/private": (200, None), "http://a.example/mine": (None, "robots.txt disallows fetching this URL"), "http://b.example/private": (200, None)}
+    other = {r.url: r.allowed for r in web.robots_allowed(urls, spark.createDataFrame([("http://a.example/robots.txt", pages["http://a.example/robots.txt"])], "url string, body binary"), "other").collect()}
+    assert not other["http://a.example/private"] and other["http://a.example/mine"] and other["http://b.example/private"]
