@@ -19,6 +19,8 @@ ALIAS_TYPES = ("alias_or_unknown", "alias_pair")
 def candidates(verified: DataFrame, statuses=("verified_online", "verified"), only_needing_search: bool = False, aliases_only: bool = False, limit: int | None = None) -> DataFrame:
     """Verified rows with their classified credit as ``c``, by lower-cased title."""
     df = with_credit(verified.where(F.col("verification_status").isin(*statuses)), "archive_artist", "c")
+    if only_needing_search or aliases_only:
+        df = checkpointed(df)  # else the filters below go through the whole classification once more, which makes planning explode
     if only_needing_search:
         df = df.where("c.needs_search")
     if aliases_only:
