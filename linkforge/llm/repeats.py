@@ -76,10 +76,14 @@ def _heads(row: np.ndarray, where: np.ndarray) -> np.ndarray:
 
 def _again(row: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which entries have a key that their row has at an earlier entry."""
-    order = np.lexsort((np.arange(len(row)), key, row))
-    same = (row[order][1:] == row[order][:-1]) & (key[order][1:] == key[order][:-1])
     out = np.zeros(len(row), bool)
-    out[order[1:]] = same
+    both = words.mix(key ^ words.mix(row.astype(np.uint64) + np.uint64(1)))
+    ordered = np.sort(both)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if len(twice):  # few, as a rule: only these are told apart in full
+        at = np.flatnonzero(np.isin(both, twice))
+        order = at[np.lexsort((at, key[at], row[at]))]
+        out[order[1:]] = (row[order][1:] == row[order][:-1]) & (key[order][1:] == key[order][:-1])
     return out
 
 
