@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkforge.functions import text as t, urls as u, values as v
@@ -11,12 +9,12 @@ from linkforge.operators import contract, enrich, html, keyed, links, ordering
 from linkforge.operators.lookup import Index, fallback_lookup
 from linkforge.operators.rules import decide
 from linkforge.plans import export, identity, ingest, verify, view
-from linkforge.runtime import shared_dir, table
+from linkforge.runtime import shared_path, table
 from linkforge.sources import readers, sinks, web
 
 
 def _folder(s: SparkSession) -> str:
-    return f"{shared_dir(s).rstrip('/')}/query-{uuid.uuid4().hex}"
+    return shared_path(s, "query")
 
 
 # --- lookups and state over whole tables

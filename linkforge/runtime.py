@@ -41,13 +41,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a compact table to the shared folder and read it back; it is removed when Python exits."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what lies there is removed when Python exits."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a compact table to the shared folder and read it back."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
