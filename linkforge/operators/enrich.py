@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linkforge.functions.text import alias_token, any_in, blank, evidence_sentences, fabrication, materials, primary_name, quoted, sentences, tags, text_of
+from linkforge.functions.text import alias_token, any_in, blank, clean_text, evidence_sentences, fabrication, materials, primary_name, quoted, sentences, tags, text_of
 from linkforge.functions.urls import defragment, external_domain, host
 from linkforge.functions.values import relevance
 from linkforge.operators.links import first_per_group
@@ -69,7 +69,7 @@ def collected_results(results: DataFrame, group: list[str], most: int = 10) -> D
 def excerpt(text: Column, record: Column, most: int = 600, p: Profile = DEFAULT) -> Column:
     """The first sentence that shares something with the record, with the evidence sentences; else the start."""
     hit = F.get(F.filter(sentences(text), lambda s: F.size(matching_identifiers(record, s, p)) > 0), F.lit(0))
-    return F.substring(F.coalesce(F.array_join(F.concat(F.array(hit), evidence_sentences(text)), " "), text), 1, most)
+    return F.substring(F.when(hit.isNotNull(), F.array_join(F.concat(F.array(hit), evidence_sentences(text)), " ")).otherwise(clean_text(text)), 1, most)
 
 
 def ranked_sources(results: DataFrame, group: list[str], record: Column, most: int = 5, p: Profile = DEFAULT) -> DataFrame:

@@ -68,7 +68,7 @@ SELECT 'priority' AS sort, uid FROM (SELECT uid FROM v ORDER BY pr DESC, p_name,
 UNION ALL SELECT 'contributor', uid FROM (SELECT uid FROM v ORDER BY p_brand, p_name, uid LIMIT 10)"""
 O["q64_project_view"] = """
 SELECT p_partkey::VARCHAR AS uid, p_name AS title, 'person' AS kind, CASE WHEN p_size > 25 THEN '' ELSE p_brand END AS hero, CASE WHEN p_size > 25 THEN 'hero_missing' ELSE '' END AS attention, p_size BETWEEN 5 AND 25 AS upload_ready,
-  (CASE WHEN p_size < 5 THEN 100 ELSE 0 END + CASE WHEN p_size > 25 THEN 50 ELSE 0 END + CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END)::BIGINT AS priority,
+  (CASE WHEN p_size < 5 THEN 100 ELSE 0 END + CASE WHEN p_size > 25 THEN 50 ELSE 0 END + CASE WHEN p_type = 'SMALL' AND p_size <= 25 THEN 1 ELSE 0 END)::BIGINT AS priority,
   concat_ws('|', CASE WHEN p_size > 25 THEN 'Hero Missing' END, CASE WHEN p_type = 'SMALL' THEN 'Honorarium Unknown' END) AS labels FROM part"""
 
 O["q65_collected_results"] = """
