@@ -10,8 +10,10 @@
    100 * intersection >= 75 * union. A star of any size is dealt out in pieces that each bring the
    smallest member along. A group of near copies mostly ends here, in work in proportion to its size.
 4. A bucket is left over only if members other than the smallest are still in different components. Left-over
-   buckets that share a component form clusters, which are searched breadth first. A cluster above a fixed
-   number of shingles is cut into blocks and every pair of blocks is searched, so no link is lost.
+   buckets that share a component form chains, whose signatures alone are compared first, block against block: who
+   has no likely partner in another component goes, and likely partners form clusters.
+5. Clusters are searched breadth first on their full sets. All but small ones are cut into blocks and every pair of
+   blocks is searched, so no link is lost and no task holds a cluster whole.
 
 Two documents of similarity 0.75 share a band with probability 1 - (1 - 0.75^4)^32 = 1 - 5e-6.
 """
@@ -33,8 +35,10 @@ from linkforge.runtime import checkpointed, ship
 HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
 #: The estimate has a standard deviation of 0.04 at the threshold; pairs below it by six of these are dropped.
 MARGIN = 0.25
-#: Shingles that one search task holds; larger clusters are cut into blocks of about this size.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles in a block of a cluster: a sixth of it, but at least the first and at most the second.
+LEAST_SHINGLES, BLOCK_SHINGLES = 50_000, 2_000_000
+#: Signatures in a block of a chain: a fiftieth of it, within these bounds (100 bytes each).
+CHAIN_BLOCK = (500, 100_000)
 #: Shingles in a piece of a star.
 STAR_SHINGLES = 20_000
 #: Numbers of documents (8 bytes each) that may be broadcast to pick texts before they are shuffled.
@@ -176,6 +180,54 @@ def linked(sets: list[np.ndarray], sigs: np.ndarray, known: np.ndarray, percent:
     return label
 
 
+def related(sigs: np.ndarray, sizes: np.ndarray, labels: np.ndarray, blocks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members that have a likely partner (by size and signature) of another label, and for each the
+    smallest label that likely partners lead to. Members of two blocks are compared across them only."""
+    halves = np.unique(blocks)
+    ours, theirs = np.flatnonzero(blocks == halves[0]), np.flatnonzero(blocks == halves[-1])
+    names, code = np.unique(labels, return_inverse=True)
+    root, hit = np.arange(len(names)), np.zeros(len(labels), bool)
+    other, size = sigs[theirs], sizes[theirs]
+    for v in ours.tolist():
+        fits = (estimates(sigs[v], other) >= percent / 100 - MARGIN) & (100 * np.minimum(size, sizes[v]) >= percent * np.maximum(size, sizes[v]))
+        near = theirs[fits & (code[theirs] != code[v])]
+        if len(near):
+            hit[v] = hit[near] = True
+            found = np.unique(root[np.append(code[near], code[v])])
+            if len(found) > 1:
+                root[np.isin(root, found)] = found[0]
+    at = np.flatnonzero(hit)
+    return at, names[root[code[at]]]
+
+
+def _relater(percent: int):
+    def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def found() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            column = lambda c: rows.column(c).to_numpy()
+            sigs = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).view(np.uint64)
+            at, peers = related(sigs, column("n"), column("label"), column("block"), percent)
+            return pa.RecordBatch.from_arrays([pa.array(column("node")[at]), pa.array(column("label")[at]), pa.array(peers)], names=["node", "label", "peer"])
+
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                if held and parts[low] != key:
+                    yield found()
+                    held = []
+                key = parts[low]
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield found()
+
+    return relate
+
+
 def _searcher(percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, sets = None, {}, []
@@ -204,6 +256,11 @@ def _searcher(percent: int):
     return search
 
 
+def _block_pairs(mine: Column) -> Column:
+    """Numbers of the pairs of the block ``mine`` with each of the column blocks, itself included."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, text_crc32, n_shingles, component_id, kept and stays for every row of ``docs`` (doc_id long, text string).
 
@@ -250,12 +307,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     rest = checkpointed(labelled.join(open_, "bucket").select("node", "label", "low").distinct())
     if not rest.isEmpty():
-        clusters = connected(rest.select(F.col("label").alias("a"), F.col("low").alias("b")))
+        chains = connected(rest.select(F.col("label").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("chain"))
+        chained = checkpointed(rest.select("node", "label").distinct().join(chains, "label").join(sized, "node"))
+        small, large = CHAIN_BLOCK
+        cuts = chained.groupBy("chain").agg(F.count(F.lit(1)).alias("c")).select("chain", F.ceil(F.col("c") / F.least(F.greatest(F.lit(small), F.col("c") / 50), F.lit(large))).cast("int").alias("blocks"))
+        cut = chained.join(cuts, "chain").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("*", F.explode(_block_pairs(F.col("block"))).alias("pair"))
+        cut = cut.select(F.xxhash64("chain", "pair").alias("part"), "node", "label", "n", "sig", "block").repartition("part").sortWithinPartitions("part")
+        rest = checkpointed(cut.mapInArrow(_relater(percent), "node long, label long, peer long").distinct())
+    if not rest.isEmpty():
+        clusters = connected(rest.where("label != peer").select(F.col("label").alias("a"), F.col("peer").alias("b")).distinct())
         rest = rest.select("node", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label").join(classes.select("node", "n"), "node")
-        blocks = rest.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        total = F.col("total")
+        blocks = rest.groupBy("cluster").agg(F.sum("n").alias("total")).select("cluster", F.ceil(total / F.least(F.greatest(F.lit(LEAST_SHINGLES), total / 6), F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
         # a cut cluster: each block meets every other block, and a block pair is one search of its own
-        mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
+        pairs = _block_pairs(F.pmod(F.xxhash64("node"), F.col("blocks")))
         groups = rest.join(blocks, "cluster").select("node", "label", "cluster", F.explode(pairs).alias("pair")).select(F.xxhash64("cluster", "pair").alias("part"), "node", F.lit(0).alias("place"), "label")
         more = checkpointed(with_texts(groups).mapInArrow(_searcher(percent), "a long, b long"))
         if not more.isEmpty():

@@ -351,3 +351,42 @@ def test_stages_on_awkward_tables(spark, awkward):
     near = corpus_pipeline.near_stage(spark, docs, folder)
     assert sorted(r.doc_id for r in near.where("doc_id is not null").collect()) == [1, 2, 3, 4, 5, 6, 7]
     assert [r["a.b"] for r in near.where("doc_id = 4").collect()] == [1] and near.where("doc_id is null").count() == 2
+
+
+def test_related_signatures_match_brute_force():
+    """Chains compared by signature: who has a likely partner of another label, across one and two blocks."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64)
+    sigs = base[rng.integers(0, 6, 60)]
+    noisy = rng.random(sigs.shape) < 0.3
+    sigs = np.where(noisy, rng.integers(0, 1 << 63, sigs.shape, dtype=np.uint64), sigs)
+    sizes, labels = rng.integers(80, 130, 60), rng.integers(0, 25, 60)
+    for blocks in (np.zeros(60, np.int64), rng.integers(3, 5, 60)):
+        pairs = [
+            (i, j) for i in range(60) for j in range(60)
+            if i != j and labels[i] != labels[j] and (blocks.max() == 0 or blocks[i] != blocks[j])
+            and near_dup.estimates(sigs[i], sigs[j : j + 1])[0] >= 0.75 - near_dup.MARGIN and 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j])
+        ]
+        reach = {int(x): int(x) for x in labels}
+        for _ in reach:
+            for i, j in pairs:
+                reach[int(labels[i])] = min(reach[int(labels[i])], reach[int(labels[j])])
+        at, peers = near_dup.related(sigs, sizes, labels, blocks, 75)
+        assert at.tolist() == sorted({i for i, _ in pairs}) and len(at)
+        assert peers.tolist() == [reach[int(labels[i])] for i in at]
+
+
+def test_chains_in_blocks(spark, monkeypatch):
+    """Chains and clusters cut into blocks of a few members give the same components as one block."""
+    rng = random.Random(8)
+    words, pairs = sentence(rng, 90).split(), []
+    for i in range(90):  # a family that drifts: neighbours are alike, the ends are not
+        at = rng.randrange(len(words))
+        words = [*words[:at], *sentence(rng, 4).split(), *words[at + 4 :]]
+        pairs.append((i, " ".join(words)))
+    docs = frame(spark, pairs)
+    want = sorted(tuple(r) for r in near_dup.near_duplicates(docs).collect())
+    monkeypatch.setattr(near_dup, "CHAIN_BLOCK", (3, 3))
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(docs).collect()) == want
+    assert 1 <= len({r[3] for r in want}) < 90
