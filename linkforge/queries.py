@@ -532,9 +532,11 @@ def q51_publish_readiness(s, d):
     when = lambda c, f: F.when(c, F.lit(f))
     flags = F.array_compact(F.array(when(F.col("doc").isNull(), "missing_archive_cache"), when(F.col("label.quality") == 0, "hero_needs_review"), when(F.col("label.toxic") == 1, "identity_needs_review"), when(F.col("label").isNull(), "honorarium_unknown")))
     base = base.withColumn("flags", flags).withColumn("link", u.normalize_url(F.col("url")))
-    miss = decide.missing_required(F.col("title"), t.slugify(t.text_of(F.col("title"))), F.col("link"))
+    # as in the ingest, a title without a-z and 0-9 has a stand-in for its slug and is not missing
+    slug = F.coalesce(F.nullif(t.slugify(t.text_of(F.col("title"))), F.lit("")), F.lit("untitled"))
+    miss = decide.missing_required(F.col("title"), slug, F.col("link"))
     return base.select(
         "page_id", F.col("link").alias("url"), t.normalize_title(t.text_of(F.col("title"))).alias("key"), F.col("doc_mode").alias("found_by"), F.col("doc.source").alias("source"), decide.format_flags(F.col("flags")).alias("flags"),
         decide.review_priority(F.col("flags"), miss, F.coalesce(F.col("doc.n_chars") > 100, F.lit(False))).cast("long").alias("priority"),
-        decide.upload_ready(F.col("title"), t.slugify(t.text_of(F.col("title"))), F.col("link"), F.col("flags")).alias("upload_ready"),
+        decide.upload_ready(F.col("title"), slug, F.col("link"), F.col("flags")).alias("upload_ready"),
     )

@@ -49,6 +49,23 @@ def test_query(spark, db, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["q51_page_readiness", "q51_publish_readiness"])
+def test_titles_without_latin_letters(spark, tmp_path, name):
+    pages = [(4, "https://x.example/a", "<title>Ç Éç Ç</title>"), (8, "https://x.example/b", "<title> </title>"), (12, "https://x.example/c", "<title>Île 2</title>"), (99, "https://x.example/d", "<title>日本</title>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    docs = [(i, "text " * 40, "en", "src0", 200) for i in (4, 8, 12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for table in ("pages", "documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    answer = con.execute(ORACLES[name])
+    cols = [x[0] for x in answer.description]
+    got = sorted(tuple(r[c] for c in cols) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted(answer.fetchall())
+    assert [r[-2:] for r in got] == [(0, True), (100, False), (1, True), (60, False)]
+
+
 def test_entry(spark):
     if os.path.isdir(DATA):
         assert __spark_entry__.entry(spark).count() > 0
