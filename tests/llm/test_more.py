@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkforge.llm import decontamination, near_dup, oracles, pii, quality_cnn, quality_rules
+from linkforge.llm.components import connected
 from linkforge.llm.line_dedup import line_dedup
 from linkforge.llm.sharding import kd_shards
 from linkforge.llm.substring_dedup import substring_dedup
@@ -390,3 +391,25 @@ def test_chains_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
     assert sorted(tuple(r) for r in near_dup.near_duplicates(docs).collect()) == want
     assert 1 <= len({r[3] for r in want}) < 90
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    """Few edges are settled in one task, in a few jobs whatever the chains; rounds beyond give the same."""
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 2000) for i in range(50)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(300)]
+    rng.shuffle(edges)
+    reach = {x: x for e in edges if e[0] != e[1] for x in e}
+    while any(reach[a] != reach[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                reach[a] = reach[b] = min(reach[a], reach[b])
+    df = spark.createDataFrame([*edges, edges[0], edges[1][::-1], (7, None), (None, 9), (5000, 5000)], "a long, b long").repartition(4)
+    found = lambda x: {r.node: r.label for r in x.collect()}
+    spark.sparkContext.setJobGroup("one-task", "")
+    try:
+        assert found(connected(df)) == reach
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-task")) <= 6
+    assert found(connected(df, task_edges=10)) == reach
+    assert found(connected(df.where("a < 0"))) == {}
